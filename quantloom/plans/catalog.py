@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from quantloom.plans import q_market  # noqa: F401
+from quantloom.plans import q_market, q_research  # noqa: F401
 from quantloom.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

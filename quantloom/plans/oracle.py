@@ -343,3 +343,115 @@ FROM (SELECT *, composite_percentile >= {_s.long_composite_percentile}
              AND risk_flag = 0 AS buy FROM t_scored)
 """)
 block("t_price_named", "SELECT p.*, s.sector_id FROM t_price_features p JOIN t_securities s USING (security_id)")
+
+# ---------------------------------------------------------------- research
+from quantloom.plans.candidates import CANDIDATES, SPLIT  # noqa: E402
+
+block("t_universe_size", "SELECT as_of_date, count(*) AS universe FROM t_eligible GROUP BY 1")
+block("t_legs", """
+SELECT c.date AS as_of_date, h.horizon, c.pos + 1 AS entry_pos, e.pos + 1 AS exit_pos, x.date AS exit_date
+FROM t_calendar c CROSS JOIN (VALUES (1), (3), (6)) h(horizon)
+JOIN t_calendar e ON e.pos = c.pos + h.horizon JOIN t_calendar x ON x.pos = e.pos + 1
+""")
+block("t_filled", """
+SELECT security_id, pos, open, last_value(open IGNORE NULLS) OVER (PARTITION BY security_id ORDER BY pos
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM t_grid
+""")
+block("t_forward", """
+SELECT l.as_of_date, a.security_id, l.horizon, b.filled / a.open - 1 AS forward_return, l.exit_date
+FROM t_legs l JOIN t_filled a ON a.pos = l.entry_pos JOIN t_filled b ON b.pos = l.exit_pos AND b.security_id = a.security_id
+""")
+block("t_raw_forward", """
+SELECT l.as_of_date, a.security_id, b.open / a.open - 1 AS forward_return, l.exit_date
+FROM t_legs l JOIN t_grid a ON a.pos = l.entry_pos JOIN t_grid b ON b.pos = l.exit_pos AND b.security_id = a.security_id
+WHERE l.horizon = 1
+""")
+block("t_cand_pct", percentile_sql("t_eligible", {n: up for n, up, _ in CANDIDATES}))
+block("t_panel", """
+SELECT p.*, g.factor_size, u.universe FROM t_cand_pct p
+JOIN (SELECT as_of_date, factor, count(*) AS factor_size FROM t_cand_pct GROUP BY 1, 2
+      HAVING count(*) >= 30 AND count(DISTINCT pct) >= 5) g USING (as_of_date, factor)
+JOIN t_universe_size u USING (as_of_date)
+WHERE u.universe >= 30 AND as_of_date IN (SELECT as_of_date FROM t_legs WHERE horizon = 1)
+""")
+
+
+def spearman_sql(source: str, groups: str, a: str, b: str, minimum: int) -> str:
+    return f"""
+SELECT {groups}, count(*) AS n, CASE WHEN count(*) >= {minimum} AND min(ra) < max(ra) AND min(rb) < max(rb) THEN corr(ra, rb) END AS ic
+FROM (SELECT {groups}, rank() OVER (PARTITION BY {groups} ORDER BY {a}) + (count(*) OVER (PARTITION BY {groups}, {a}) - 1) / 2.0::DOUBLE AS ra,
+             rank() OVER (PARTITION BY {groups} ORDER BY {b}) + (count(*) OVER (PARTITION BY {groups}, {b}) - 1) / 2.0::DOUBLE AS rb
+      FROM {source} WHERE {a} IS NOT NULL AND {b} IS NOT NULL) GROUP BY ALL"""
+
+
+block("t_panel_forward", "SELECT p.*, f.horizon, f.forward_return FROM t_panel p JOIN t_forward f USING (as_of_date, security_id)")
+block("t_ic_known", spearman_sql("t_panel_forward", "as_of_date, factor, horizon", "pct", "forward_return", 30))
+block("t_ic", """
+SELECT g.as_of_date, g.factor, h.horizon, i.ic FROM (SELECT DISTINCT as_of_date, factor FROM t_panel) g
+CROSS JOIN (VALUES (1), (3), (6)) h(horizon) LEFT JOIN t_ic_known i USING (as_of_date, factor, horizon)
+""")
+block("t_buckets", """
+SELECT as_of_date, factor, security_id, forward_return, greatest(ceil((r - 1) * 5.0::DOUBLE / (n - 1)) - 1, 0) AS bucket
+FROM (SELECT *, row_number() OVER (PARTITION BY as_of_date, factor ORDER BY pct, security_id) AS r,
+             count(*) OVER (PARTITION BY as_of_date, factor) AS n
+      FROM t_panel_forward WHERE horizon = 1 AND forward_return IS NOT NULL) WHERE n >= 50
+""")
+_q = ", ".join(f"avg(forward_return) FILTER (WHERE bucket = {i}) - avg(forward_return) AS q{i + 1}" for i in range(5))
+block("t_quintiles", f"SELECT as_of_date, factor, {_q} FROM t_buckets GROUP BY 1, 2")
+block("t_bucket_dates", """
+SELECT as_of_date, factor, row_number() OVER (PARTITION BY factor ORDER BY as_of_date) AS i
+FROM (SELECT DISTINCT as_of_date, factor FROM t_buckets)
+""")
+block("t_top", "SELECT b.*, d.i FROM t_buckets b JOIN t_bucket_dates d USING (as_of_date, factor) WHERE bucket = 4")
+block("t_turnover", """
+SELECT d.as_of_date, d.factor, 1 - (SELECT count(*) FROM t_top a JOIN t_top b ON a.factor = b.factor AND a.security_id = b.security_id
+         AND a.i = d.i AND b.i = d.i - 1 WHERE a.factor = d.factor)
+       / CAST((SELECT count(*) FROM t_top b WHERE b.factor = d.factor AND b.i = d.i - 1) AS DOUBLE) AS turnover
+FROM t_bucket_dates d WHERE d.i > 1
+""")
+
+
+def newey_west_sql(source: str, key: str, value: str, lags: int) -> str:
+    terms = " ".join(
+        f"+ {2.0 * (1.0 - k / (lags + 1))}::DOUBLE * coalesce(sum(e * e{k}), 0) / count(*)" for k in range(1, lags + 1)
+    )
+    shifted = ", ".join(f"lag(e, {k}) OVER (PARTITION BY {key} ORDER BY as_of_date) AS e{k}" for k in range(1, lags + 1))
+    return f"""(SELECT {key}, CASE WHEN n >= 3 AND v > 0 THEN m / sqrt(v / n) END AS t FROM
+ (SELECT {key}, count(*) AS n, avg(x) AS m, sum(e * e) / count(*) {terms} AS v FROM
+  (SELECT {key}, x, e, {shifted} FROM
+   (SELECT {key}, as_of_date, {value} AS x, {value} - avg({value}) OVER (PARTITION BY {key}) AS e FROM {source} WHERE {value} IS NOT NULL)) GROUP BY {key}))"""
+
+
+for _part, _cond in (("research", f"as_of_date < DATE '{SPLIT}'"), ("holdout", f"as_of_date >= DATE '{SPLIT}'")):
+    block(f"t_ic_{_part}", f"SELECT * FROM t_ic WHERE {_cond}")
+    for _h in (1, 3, 6):
+        block(f"t_ic_{_part}_{_h}", f"SELECT * FROM t_ic_{_part} WHERE horizon = {_h}")
+    block(f"t_spread_{_part}", f"SELECT *, q5 - q1 AS spread FROM t_quintiles WHERE {_cond}")
+    _nw = " ".join(
+        f"LEFT JOIN {newey_west_sql(f't_ic_{_part}_{h}', 'factor', 'ic', h)} w{h} ON w{h}.factor = b.factor" for h in (1, 3, 6)
+    )
+    _mono_ranks = ", ".join(
+        f"({' + '.join(f'CASE WHEN m{j} < m{i} THEN 1.0::DOUBLE WHEN m{j} = m{i} THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END' for j in range(1, 6))} + 0.5::DOUBLE) AS k{i}"
+        for i in range(1, 6)
+    )
+    block(f"t_mono_{_part}", f"""
+SELECT factor, s12 AS q5_q1_annual, t12 AS top_excess_annual,
+  (k1 * -2 + k2 * -1 + k4 + k5 * 2) / sqrt(10 * ((k1-3)*(k1-3) + (k2-3)*(k2-3) + (k3-3)*(k3-3) + (k4-3)*(k4-3) + (k5-3)*(k5-3))) AS monotonicity
+FROM (SELECT factor, s12, t12, {_mono_ranks} FROM (SELECT factor, avg(spread) * 12 AS s12, avg(q5) * 12 AS t12,
+   avg(q1) AS m1, avg(q2) AS m2, avg(q3) AS m3, avg(q4) AS m4, avg(q5) AS m5 FROM t_spread_{_part} GROUP BY 1))""")
+    block(f"t_summary_{_part}", f"""
+SELECT b.*, (SELECT avg(ic) FROM t_ic_{_part}_1 x WHERE x.factor = b.factor) AS mean_ic_1m,
+  (SELECT avg(ic) FROM t_ic_{_part}_3 x WHERE x.factor = b.factor) AS mean_ic_3m,
+  (SELECT avg(ic) FROM t_ic_{_part}_6 x WHERE x.factor = b.factor) AS mean_ic_6m,
+  w1.t AS nw_t_1m, w3.t AS nw_t_3m, w6.t AS nw_t_6m, m.q5_q1_annual, m.top_excess_annual, m.monotonicity, ws.t AS q5_q1_nw_t,
+  (SELECT avg(turnover) FROM t_turnover t WHERE t.factor = b.factor AND {_cond}) AS top_quintile_turnover,
+  (SELECT avg(c) FROM (SELECT as_of_date, any_value(factor_size) / CAST(any_value(universe) AS DOUBLE) AS c FROM t_panel p
+     WHERE p.factor = b.factor AND {_cond} GROUP BY 1)) AS coverage
+FROM (SELECT factor, count(*) AS months, CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) * sqrt(12) END AS ic_ir,
+             avg(CASE WHEN ic > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS hit_rate,
+             avg(ic) FILTER (WHERE r <= n // 2) AS ic_first_half, avg(ic) FILTER (WHERE r > n // 2) AS ic_second_half
+      FROM (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY as_of_date) AS r, count(*) OVER (PARTITION BY factor) AS n
+            FROM t_ic_{_part}_1 WHERE ic IS NOT NULL) GROUP BY 1 HAVING count(*) >= 6) b
+{_nw}
+LEFT JOIN t_mono_{_part} m ON m.factor = b.factor
+LEFT JOIN {newey_west_sql(f't_spread_{_part}', 'factor', 'spread', 1)} ws ON ws.factor = b.factor""")

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.config import FEATURES
+from quantloom.operators import calendar as cal
 from quantloom.operators import crosssection as cs
 from quantloom.operators import fundamentals as fu
 from quantloom.operators import intervals as iv
+from quantloom.operators import research as rs
 from quantloom.plans import testbed as tb
+from quantloom.plans.candidates import CANDIDATES, SPLIT
 from quantloom.plans.registry import staged
 
 
@@ -59,3 +63,97 @@ def signals(spark, sf) -> DataFrame:
 def last_date(df: DataFrame, date: str = "as_of_date"):
     """The newest decision date as a scalar column."""
     return df.select(F.max(date)).scalar()
+
+
+def candidates_table(spark) -> DataFrame:
+    """The fixed candidate list as a small table."""
+    rows = [(n, fam, up, n in FEATURES) for n, up, fam in CANDIDATES]
+    return spark.createDataFrame(
+        rows, "factor string, family string, higher_is_better boolean, in_strategy boolean"
+    )
+
+
+def eligible(spark, sf) -> DataFrame:
+    return cs.with_eligibility(snapshot(spark, sf), tb.STRATEGY.eligibility).where("eligible")
+
+
+def eligible_percentiles(spark, sf) -> DataFrame:
+    return staged(
+        spark, sf, "eligible_pct", lambda: cs.feature_percentiles(eligible(spark, sf), FEATURES)
+    )
+
+
+def legs(spark, sf, horizons=rs.HORIZONS) -> DataFrame:
+    days = tb.calendar(spark, sf)
+    return rs.return_legs(cal.period_ends(days.select("date")), days, horizons)
+
+
+def forward(spark, sf) -> DataFrame:
+    return staged(
+        spark, sf, "forward", lambda: rs.forward_returns(tb.grid(spark, sf), legs(spark, sf))
+    )
+
+
+def panel_percentiles(spark, sf) -> DataFrame:
+    """Guarded percentiles of every candidate on dates that have a one-period return."""
+
+    def build():
+        universe = eligible(spark, sf)
+        pct = cs.feature_percentiles(universe, {n: up for n, up, _ in CANDIDATES})
+        size = universe.groupBy("as_of_date").agg(F.count(F.lit(1)).alias("universe"))
+        have = legs(spark, sf, (1,)).select("as_of_date").distinct()
+        return rs.guarded_percentiles(pct, size.join(have, "as_of_date", "left_semi"))
+
+    return staged(spark, sf, "panel_percentiles", build)
+
+
+def panel_ic(spark, sf) -> DataFrame:
+    def build():
+        joined = panel_percentiles(spark, sf).join(
+            forward(spark, sf), ["as_of_date", "security_id"]
+        )
+        keys = ["as_of_date", "factor", "horizon"]
+        ic = rs.spearman(joined, keys, "pct", "forward_return", rs.MIN_CROSS_SECTION)
+        # Dates without a leg of that horizon are still rows of the panel, with a null.
+        grid = panel_percentiles(spark, sf).select("as_of_date", "factor").distinct().select(
+            "*", F.explode(F.array(*[F.lit(h) for h in rs.HORIZONS])).alias("horizon")
+        )
+        return grid.join(ic, keys, "left")
+
+    return staged(spark, sf, "panel_ic", build)
+
+
+def panel_buckets(spark, sf) -> DataFrame:
+    def build():
+        one = forward(spark, sf).where("horizon = 1")
+        joined = panel_percentiles(spark, sf).join(one, ["as_of_date", "security_id"])
+        return rs.bucketed(
+            joined, ["as_of_date", "factor"], "pct", "forward_return", rs.MIN_BUCKET_PAIRS
+        ).select("as_of_date", "factor", "security_id", "bucket", "forward_return")
+
+    return staged(spark, sf, "panel_buckets", build)
+
+
+def panel_coverage(spark, sf) -> DataFrame:
+    return (
+        panel_percentiles(spark, sf)
+        .groupBy("as_of_date", "factor")
+        .agg((F.max("factor_size") / F.max("universe")).alias("coverage"))
+    )
+
+
+def factor_summary(spark, sf, part: str) -> DataFrame:
+    """Summary of the research part (before the split) or of the holdout (from it on)."""
+    when = F.col("as_of_date") < SPLIT if part == "research" else F.col("as_of_date") >= SPLIT
+    buckets = panel_buckets(spark, sf)
+    groups = ["as_of_date", "factor"]
+
+    def build():
+        return rs.summarize_factors(
+            panel_ic(spark, sf).where(when),
+            rs.quintile_returns(buckets, groups, "forward_return").where(when),
+            rs.top_turnover(buckets).where(when),
+            panel_coverage(spark, sf).where(when),
+        )
+
+    return staged(spark, sf, f"summary_{part}", build)

@@ -12,7 +12,7 @@ from quantloom.operators import asof, calendar as cal, crosssection as cs
 from quantloom.operators import fundamentals as fu, intervals as iv, series as se
 from quantloom.plans import testbed as tb
 from quantloom.plans.oracle import percentile_of, percentile_sql
-from quantloom.plans.pipeline import last_date, membership, scored, signals, snapshot
+from quantloom.plans.pipeline import eligible_percentiles, last_date, membership, scored, signals, snapshot
 from quantloom.plans.registry import query, rounded
 
 
@@ -491,8 +491,7 @@ def _(spark, sf):
 
 @query("feature_percentiles", "SELECT as_of_date, security_id, factor, round(pct, 9) AS pct FROM t_pct")
 def _(spark, sf):
-    eligible = cs.with_eligibility(snapshot(spark, sf), tb.STRATEGY.eligibility).where("eligible")
-    return rounded(cs.feature_percentiles(eligible, FEATURES), 9)
+    return rounded(eligible_percentiles(spark, sf), 9)
 
 
 _SCORES = (*[f"{f}_score" for f in FAMILIES], "data_coverage", "composite_score")
