@@ -76,13 +76,14 @@ def winsorized_percentiles(
     low = F.sum(F.when(F.col(value) <= F.col("_lo"), F.col("_n")).otherwise(0))
     high = F.sum(F.when(F.col(value) >= F.col("_hi"), F.col("_n")).otherwise(0))
     tails = (
-        folded.join(bounds, groups)
+        folded.join(F.broadcast(bounds), groups)  # one row per (date, feature)
         .groupBy(*groups, sector, "_lo", "_hi")
         .agg(low.alias("_s_low"), high.alias("_s_high"))
         .withColumn("_u_low", F.sum("_s_low").over(per_group))
         .withColumn("_u_high", F.sum("_s_high").over(per_group))
     )
-    scored = null_safe_join(ranked, tails, [*groups, sector], "inner")
+    # One row per (date, feature, sector), a fixed classification.
+    scored = null_safe_join(ranked, F.broadcast(tails), [*groups, sector], "inner")
 
     def pct(prefix: str) -> Column:
         n, low, high = (F.col(f"{prefix}{c}") for c in ("n", "low", "high"))

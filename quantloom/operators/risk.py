@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.config import RiskLimits
+from quantloom.operators.crosssection import EXIT
+
 
 def trailing_returns(returns: DataFrame, dates: DataFrame, lookback: int) -> DataFrame:
     """Unfilled returns of the last ``lookback`` calendar positions before each date.
@@ -20,3 +25,360 @@ def trailing_returns(returns: DataFrame, dates: DataFrame, lookback: int) -> Dat
         ).alias("pos"),
     ).where("pos > 0")
     return returns.join(F.broadcast(reach), "pos").select("as_of_date", "security_id", "date", "ret")
+
+
+# Normal quantile and expected-shortfall multiple at 95 %.
+Z_95 = 1.6448536269514722
+ES_95 = 2.0627128075074257
+MIN_HISTORY = 20
+TOLERANCE = 1e-6
+
+
+def covariance_model(
+    returns: DataFrame, keys: Sequence[str], date: str = "date", min_coverage: float = 0.6
+) -> tuple[DataFrame, DataFrame]:
+    """Ledoit-Wolf shrinkage towards a scaled identity, in factored form.
+
+    ``returns`` has one row per ``(keys, security_id, date)`` with ``ret`` possibly null. The
+    result is ``names`` (variance and membership of each name) and ``scalars`` per key
+    (``n``, ``p``, ``mu``, ``shrink``, ``fallback``). Everything risk needs (``w'Sw``, ``Sw``)
+    follows from these and the centred returns, so the name x name matrix is never formed and
+    no pair of names is ever emitted. The Frobenius norm of the sample matrix comes from the
+    date x date Gram matrix, whose size the look-back bounds.
+    """
+    keys = list(keys)
+    days = returns.groupBy(*keys).agg(F.count_distinct(date).alias("n"))
+    counted = returns.groupBy(*keys, "security_id").agg(
+        F.count("ret").alias("_known"), F.sum(F.coalesce("ret", F.lit(0.0))).alias("_sum")
+    )
+    names = counted.join(days, keys).withColumn(
+        "good", F.col("_known") / F.col("n") >= min_coverage
+    ).withColumn("mean", F.col("_sum") / F.col("n"))
+    centred = (
+        returns.join(names.where("good").select(*keys, "security_id", "mean", "n"), [*keys, "security_id"])
+        .withColumn("x", F.coalesce("ret", F.lit(0.0)) - F.col("mean"))
+    )
+    variances = centred.groupBy(*keys, "security_id").agg(
+        (F.sum(F.col("x") * F.col("x")) / F.max("n")).alias("variance")
+    )
+    gram = date_gram(centred, keys, date)
+    norms = gram.groupBy(*keys).agg(
+        # Off-diagonal cells are kept once, so they count twice.
+        F.sum(F.when(F.col("k") == F.col("l"), F.col("g") ** 2).otherwise(2 * F.col("g") ** 2)).alias("_g2"),
+        F.sum(F.when(F.col("k") == F.col("l"), F.col("g") ** 2)).alias("_x4"),
+        F.sum(F.when(F.col("k") == F.col("l"), F.col("g"))).alias("_trace"),
+    )
+    sized = variances.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("p"), F.percentile("variance", 0.5).alias("_median")
+    )
+    n, p = F.col("n").cast("double"), F.col("p").cast("double")
+    s2 = F.col("_g2") / (n * n)
+    mu = F.col("_trace") / n / p
+    d2 = (s2 - p * mu * mu) / p
+    b2 = (F.col("_x4") - n * s2) / (n * n * p)
+    scalars = (
+        days.join(sized, keys, "left")
+        .join(norms, keys, "left")
+        .select(
+            *keys,
+            "n",
+            F.coalesce("p", F.lit(0)).alias("p"),
+            mu.alias("mu"),
+            F.when(d2 > 0, F.least(b2, d2) / d2).otherwise(0.0).alias("shrink"),
+            "_median",
+        )
+    )
+    # Shrinking is a monotone map of the variances, so the median moves with it.
+    shrunk_median = F.col("shrink") * F.col("mu") + (1 - F.col("shrink")) * F.col("_median")
+    scalars = scalars.withColumn("shrunk_median", shrunk_median).drop("_median")
+    out = names.select(*keys, "security_id", "good", "mean").join(
+        variances, [*keys, "security_id"], "left"
+    )
+    return out, scalars
+
+
+def date_gram(centred: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
+    """``(keys, k, l, g)``: sums over names of ``x_k * x_l`` for date pairs ``k <= l``.
+
+    Each task folds its names into one date x date matrix per key with a matrix product and
+    emits that; Spark adds the partial matrices. A name's series is at most the look-back.
+    """
+    keys = list(keys)
+    series = centred.groupBy(*keys, "security_id").agg(
+        F.sort_array(F.collect_list(F.struct(F.col(date).alias("d"), "x"))).alias("s")
+    )
+    packed = series.select(
+        F.to_json(F.struct(*keys)).alias("key"), F.col("s.d").alias("d"), F.col("s.x").alias("x")
+    )
+
+    def fold(batches):
+        import numpy as np
+        import pandas as pd
+
+        sums: dict = {}
+        dates: dict = {}
+        for frame in batches:
+            for key, part in frame.groupby("key", sort=False):
+                days = sorted({d for row in part["d"] for d in row})
+                place = {d: i for i, d in enumerate(days)}
+                x = np.zeros((len(part), len(days)))
+                for r, (ds, xs) in enumerate(zip(part["d"], part["x"])):
+                    x[r, [place[d] for d in ds]] = xs
+                known = dates.setdefault(key, [])
+                if known != days:
+                    merged = sorted(set(known) | set(days))
+                    index = {d: i for i, d in enumerate(merged)}
+                    grown = np.zeros((len(merged), len(merged)))
+                    if known:
+                        at = [index[d] for d in known]
+                        grown[np.ix_(at, at)] = sums[key]
+                    sums[key], dates[key] = grown, merged
+                index = {d: i for i, d in enumerate(dates[key])}
+                at = [index[d] for d in days]
+                sums[key][np.ix_(at, at)] += x.T @ x
+        for key, g in sums.items():
+            i, j = np.triu_indices(len(g))
+            days = np.array(dates[key], dtype=object)
+            yield pd.DataFrame({"key": key, "k": days[i], "l": days[j], "g": g[i, j]})
+
+    partial = packed.mapInPandas(fold, "key string, k date, l date, g double")
+    kinds = dict(centred.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    total = partial.groupBy("key", "k", "l").agg(F.sum("g").alias("g"))
+    return total.select(F.from_json("key", schema).alias("_k"), "k", "l", "g").select(
+        "_k.*", "k", "l", "g"
+    )
+
+
+def risk_report(
+    weights: DataFrame,
+    returns: DataFrame,
+    benchmark: DataFrame | None,
+    keys: Sequence[str],
+    periods: int = 252,
+    min_coverage: float = 0.6,
+) -> tuple[DataFrame, DataFrame]:
+    """Ex-ante risk of every portfolio at once.
+
+    ``weights``: keys, security_id, weight (> 0; cash is the rest). ``returns``: keys,
+    security_id, date, ret for the held names. ``benchmark``: keys, date, benchmark_return.
+    Returns the report (one row per portfolio) and the contribution of each holding.
+    """
+    keys = list(keys)
+    held = weights.where("weight > 0")
+    names, scalars = covariance_model(returns, keys, "date", min_coverage)
+    # Portfolio return per day: missing returns count as 0.
+    daily = (
+        returns.join(held, [*keys, "security_id"])
+        .join(names.select(*keys, "security_id", "good"), [*keys, "security_id"])
+        .groupBy(*keys, "date")
+        .agg(
+            F.sum(F.coalesce("ret", F.lit(0.0)) * F.col("weight")).alias("hist"),
+            F.sum(
+                F.when(F.col("good"), F.coalesce("ret", F.lit(0.0)) * F.col("weight")).otherwise(0.0)
+            ).alias("good_hist"),
+        )
+    )
+    centre = daily.groupBy(*keys).agg(F.avg("good_hist").alias("_mean"))
+    factor = daily.join(centre, keys).withColumn("_f", F.col("good_hist") - F.col("_mean"))
+    # (S w)_i for names with history: covariance of the name with the portfolio series.
+    cross = (
+        returns.join(factor.select(*keys, "date", "_f"), [*keys, "date"])
+        .groupBy(*keys, "security_id")
+        .agg((F.sum(F.coalesce("ret", F.lit(0.0)) * F.col("_f"))).alias("_cross"))
+    )
+    rows = (
+        held.join(names.drop("variance"), [*keys, "security_id"])
+        .join(cross, [*keys, "security_id"], "left")
+        .join(scalars, keys)
+    )
+    # Names without enough history: median variance of the others, no covariance.
+    fallback = F.coalesce(F.col("shrunk_median"), F.lit(0.30**2 / periods))
+    shrunk = F.col("shrink") * F.col("mu") * F.col("weight") + (1 - F.col("shrink")) * F.col(
+        "_cross"
+    ) / F.col("n")
+    sigma_w = F.when(F.col("good"), shrunk).otherwise(fallback * F.col("weight")) * periods
+    weighted = rows.withColumn("sigma_w", sigma_w)
+    total = weighted.groupBy(*keys).agg(
+        F.sum(F.col("weight") * F.col("sigma_w")).alias("variance"),
+        F.sum("weight").alias("gross_exposure"),
+        F.sum(F.col("weight") * F.col("weight")).alias("herfindahl"),
+    )
+    contributions = weighted.join(total.select(*keys, "variance"), keys).select(
+        *keys,
+        "security_id",
+        "weight",
+        F.when(F.col("variance") > 0, F.col("weight") * F.col("sigma_w") / F.col("variance"))
+        .otherwise(0.0)
+        .alias("risk_contribution"),
+    )
+    vol = F.sqrt(F.greatest(F.col("variance"), F.lit(0.0)))
+    report = total.select(
+        *keys,
+        "gross_exposure",
+        "herfindahl",
+        vol.alias("volatility_annual"),
+        (vol / F.lit(float(periods) ** 0.5) * Z_95).alias("var_95_daily"),
+        (vol / F.lit(float(periods) ** 0.5) * ES_95).alias("cvar_95_daily"),
+    )
+    report = report.join(historical_tail(daily, keys, "hist"), keys, "left")
+    if benchmark is not None:
+        report = report.join(
+            portfolio_beta(daily.join(benchmark, [*keys, "date"]), keys, "hist"), keys, "left"
+        )
+    else:
+        report = report.withColumn("beta", F.lit(None).cast("double"))
+    return report, contributions
+
+
+def historical_tail(
+    daily: DataFrame, keys: Sequence[str], value: str, level: float = 0.05
+) -> DataFrame:
+    """Historical VaR and expected shortfall as positive losses. A portfolio has one value per
+    day of the look-back, so the exact percentile is small."""
+    keys = list(keys)
+    cut = daily.groupBy(*keys).agg(
+        F.percentile(value, level).alias("_cut"), F.count(value).alias("_n")
+    )
+    return (
+        daily.join(cut, keys)
+        .groupBy(*keys)
+        .agg(
+            F.max(F.when(F.col("_n") > MIN_HISTORY, -F.col("_cut"))).alias(
+                "historical_var_95_daily"
+            ),
+            (-F.avg(F.when(F.col(value) <= F.col("_cut"), F.col(value)))).alias(
+                "historical_cvar_95_daily"
+            ),
+        )
+    )
+
+
+def portfolio_beta(
+    daily: DataFrame, keys: Sequence[str], value: str, minimum: int = MIN_HISTORY, out: str = "beta"
+) -> DataFrame:
+    """Sample covariance over variance on days where both returns are known."""
+    both = daily.where(F.col(value).isNotNull() & F.col("benchmark_return").isNotNull())
+    stats = both.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.covar_samp(value, "benchmark_return").alias("_c"),
+        F.var_samp("benchmark_return").alias("_v"),
+    )
+    return stats.select(
+        *keys, F.when((F.col("_n") > minimum) & (F.col("_v") > 0), F.col("_c") / F.col("_v")).alias(out)
+    )
+
+
+def group_exposure(weights: DataFrame, securities: DataFrame, keys: Sequence[str], group: str):
+    """Weight per sector or industry; a null group is reported as ``unknown``."""
+    named = weights.join(securities.select("security_id", group), "security_id", "left")
+    return named.groupBy(*keys, F.coalesce(group, F.lit("unknown")).alias(group)).agg(
+        F.sum("weight").alias("exposure")
+    )
+
+
+def herfindahl(weights: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return weights.groupBy(*keys).agg(F.sum(F.col("weight") * F.col("weight")).alias("herfindahl"))
+
+
+def limit_breaches(
+    report: DataFrame,
+    sector_exposure: DataFrame | None,
+    industry_exposure: DataFrame,
+    contributions: DataFrame,
+    keys: Sequence[str],
+    limits: RiskLimits,
+    max_sector_weight: float | None = None,
+) -> DataFrame:
+    """Every limit that is exceeded: code, severity, value, limit and what it concerns."""
+
+    def over(df, value, limit, code, severity, subject=None):
+        return df.where(F.col(value) > F.lit(limit + TOLERANCE)).select(
+            *keys,
+            F.lit(code).alias("code"),
+            F.lit(severity).alias("severity"),
+            F.col(value).alias("value"),
+            F.lit(float(limit)).alias("limit"),
+            (F.col(subject).cast("string") if subject else F.lit(None).cast("string")).alias("subject"),
+        )
+
+    # Breach codes and severities.
+    parts = [
+        over(report, "volatility_annual", limits.max_portfolio_volatility, "PORTFOLIO_VOLATILITY", "CRITICAL"),
+        over(report, "var_95_daily", limits.max_var_95_daily, "VAR_95", "CRITICAL"),
+        over(report, "beta", limits.max_beta, "BETA", "WARNING"),
+        over(industry_exposure, "exposure", limits.max_industry_weight, "INDUSTRY_CONCENTRATION", "WARNING", "industry_id"),
+        over(contributions, "risk_contribution", limits.max_single_name_risk_contribution, "RISK_CONTRIBUTION", "WARNING", "security_id"),
+    ]
+    if sector_exposure is not None and max_sector_weight is not None:
+        parts.append(over(sector_exposure, "exposure", max_sector_weight, "SECTOR_CONCENTRATION", "WARNING", "sector_id"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def top_contributors(contributions: DataFrame, keys: Sequence[str], k: int = 5) -> DataFrame:
+    """Largest contributions per portfolio. A rank filter is pruned before the shuffle."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("risk_contribution"), "security_id")
+    return contributions.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def signal_alerts(
+    previous: DataFrame,
+    current: DataFrame,
+    holdings: DataFrame,
+    keys: Sequence[str] = (),
+    score_drop: float = 15.0,
+) -> DataFrame:
+    """What changed between two snapshots for the names held.
+
+    ``previous`` and ``current``: keys of the snapshot pair, security_id, decision,
+    composite_score. ``holdings``: keys, security_id. Codes and severities are fixed values.
+    """
+    on = [*keys, "security_id"]
+    cur = current.select(*on, F.col("decision").alias("now"), F.col("composite_score").alias("s1"))
+    prev = previous.select(*on, F.col("decision").alias("was"), F.col("composite_score").alias("s0"))
+    both = holdings.select(*on).distinct().join(cur, on, "left").join(prev, on, "left")
+    exits = list(EXIT)
+    downgraded = F.col("now").isin(exits) & ~F.coalesce(F.col("was").isin(exits), F.lit(False))
+    drop = F.coalesce(F.col("s0") - F.col("s1") >= score_drop, F.lit(False))
+    known = F.col("now").isNotNull()
+    found = F.array_compact(
+        F.array(
+            F.when(~known, F.struct(F.lit("WARNING").alias("severity"), F.lit("HOLDING_LEFT_UNIVERSE").alias("code"))),
+            F.when(known & downgraded, F.struct(F.lit("WARNING").alias("severity"), F.lit("HOLDING_DOWNGRADED").alias("code"))),
+            F.when(known & drop, F.struct(F.lit("INFO").alias("severity"), F.lit("SCORE_DROP").alias("code"))),
+        )
+    )
+    held = both.select(*on, F.explode(found).alias("_a")).select(*on, "_a.severity", "_a.code")
+    strong = (
+        cur.where("now = 'STRONG_LONG'")
+        .join(holdings.select(*on).distinct(), on, "left_anti")
+        .join(prev, on, "left")
+        .where("was is null or was <> 'STRONG_LONG'")
+        .select(*on, F.lit("INFO").alias("severity"), F.lit("NEW_STRONG_LONG").alias("code"))
+    )
+    return held.unionByName(strong)
+
+
+def drawdown_alerts(
+    equity: DataFrame, keys: Sequence[str], order: str, value: str = "equity", threshold: float = 0.10
+) -> DataFrame:
+    """Current drawdown per portfolio when it is at least the threshold."""
+    known = equity.where(F.col(value).isNotNull())
+    last = known.groupBy(*keys).agg(
+        (F.max_by(value, order) / F.max(value) - 1.0).alias("drawdown"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    severity = F.when(F.col("drawdown") <= -2 * threshold, "CRITICAL").otherwise("WARNING")
+    return last.where((F.col("_n") >= 2) & (F.col("drawdown") <= -threshold)).select(
+        *keys, severity.alias("severity"), F.lit("DRAWDOWN").alias("code"), "drawdown"
+    )
+
+
+def alerts_not_reported(alerts: DataFrame, breaches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Breaches, then the alerts whose code is not among them."""
+    columns = [*keys, "severity", "code"]
+    fresh = alerts.join(breaches.select(*keys, "code").distinct(), [*keys, "code"], "left_anti")
+    return breaches.select(*columns).unionByName(fresh.select(*columns))
