@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS_PER_LOG_UNIT = 128
+BUCKETS_PER_LOG_UNIT = 16
 RESOLUTION = 1e6
 
 

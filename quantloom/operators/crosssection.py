@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -242,9 +242,13 @@ def score_columns() -> dict[str, str]:
 
 
 def factor_scores(
-    features: DataFrame, strategy: Strategy, keys: Sequence[str] = ("as_of_date", "security_id")
+    features: DataFrame,
+    strategy: Strategy,
+    keys: Sequence[str] = ("as_of_date", "security_id"),
+    materialize: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """Scores and percentiles of every cross-section in ``features`` (eligible rows only)."""
+    """Scores of every cross-section in ``features`` (eligible rows only). ``materialize`` is
+    applied to the long percentile table, see :func:`feature_snapshot`."""
     missing = [c for c in ("security_id", "sector_id") if c not in features.columns]
     if missing:
         raise ValueError(f"features lack required columns: {missing}")
@@ -258,17 +262,22 @@ def factor_scores(
         upper=norm.upper_quantile,
         min_group_size=norm.min_group_size,
     )
+    long = materialize(long)
     wide = wide_form(long, keys, "factor", "pct", {f"pct_{f}": f for f in present})
     return family_scores(features.join(wide, list(keys), "left"), strategy)
 
 
 def score_universe(
-    features: DataFrame, strategy: Strategy, keys: Sequence[str] = ("as_of_date", "security_id")
+    features: DataFrame,
+    strategy: Strategy,
+    keys: Sequence[str] = ("as_of_date", "security_id"),
+    materialize: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """Eligibility, scores, percentiles over the scored universe, flags and explanations."""
     date = keys[0]
     eligible = with_eligibility(features, strategy.eligibility).where("eligible")
-    scored = factor_scores(eligible, strategy, keys).where("composite_score is not null")
+    scored = factor_scores(eligible, strategy, keys, materialize)
+    scored = materialize(scored.where("composite_score is not null"))
     ranked = with_percentiles(
         scored,
         [date],

@@ -7,6 +7,8 @@ as-of join. That replaces the (decision date x quarter) range join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,14 +216,19 @@ def feature_snapshot(
     bars: Bars = DAILY,
     data_version: str = "",
     revision_days: tuple[int, int] = (30, 90),
+    materialize: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """Point-in-time features for every ``(decision date, security)``.
 
     Only data with ``available_at`` up to the decision date and prices up to its close are
     read. Tables that are not given leave their features out, and the scorer treats missing
     columns as missing values.
+
+    ``materialize`` is applied to the three intermediate tables (price features, filing states,
+    as-of joined rows). The default keeps one lazy plan; a job over many dates passes
+    ``cut_lineage`` so that each part is planned, run and recovered on its own.
     """
-    features = price_features(grid, benchmark, bars)
+    features = materialize(price_features(grid, benchmark, bars))
     dropped = ("pos", "open", "high", "low", "close", "price_close", "volume", "ret")
     kept = [c for c in features.columns if c not in dropped]
     # Decision dates are a subset of the trading calendar, hence bounded.
@@ -230,11 +237,11 @@ def feature_snapshot(
     ).withColumnRenamed("date", "as_of_date")
     sources = share_sources(shares) if shares is not None else []
     if fundamentals is not None:
-        sources.append(Facts(filing_states(fundamentals), STATE_COLUMNS))
+        sources.append(Facts(materialize(filing_states(fundamentals)), STATE_COLUMNS))
     if estimates is not None:
         sources.extend(estimate_sources(estimates, *revision_days))
     if sources:
-        out = asof_join_many(out, sources, decision_dates)
+        out = materialize(asof_join_many(out, sources, decision_dates))
     if shares is not None:
         out = out.withColumn("net_issuance_1y", net_issuance()).drop("past_shares_outstanding")
     elif "shares_outstanding" in securities.columns:

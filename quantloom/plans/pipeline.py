@@ -11,15 +11,25 @@ from quantloom.operators import crosssection as cs
 from quantloom.operators import fundamentals as fu
 from quantloom.operators import intervals as iv
 from quantloom.operators import research as rs
+from quantloom.operators import series as se
 from quantloom.plans import testbed as tb
 from quantloom.plans.candidates import CANDIDATES, SPLIT
-from quantloom.plans.registry import staged
+from quantloom.plans.stage import staged
+from quantloom.session import cut_lineage
 
 
 def membership(spark, sf) -> DataFrame:
     return iv.membership_from_snapshots(tb.composition(spark, sf))
 
 
+def returns(spark, sf) -> DataFrame:
+    """Simple returns on the dense grid."""
+    columns = ("security_id", "date", "pos", "ret")
+    return staged(
+        spark, sf, "returns", lambda: se.with_returns(tb.grid(spark, sf)).select(*columns)
+    )
+
+
 def snapshot(spark, sf) -> DataFrame:
     """Features of every (month end, supplier)."""
     return staged(
@@ -35,19 +45,20 @@ def snapshot(spark, sf) -> DataFrame:
             tb.shares(spark, sf),
             membership(spark, sf),
             bars=tb.BARS,
+            benchmark=se.equal_weight_returns(returns(spark, sf)),
             data_version="suppliers_monthly",
+            materialize=cut_lineage,
         ),
     )
 
 
 def scored(spark, sf) -> DataFrame:
     """Scored universe: percentiles are taken again over the rows that have a composite."""
-    screened = cs.with_eligibility(snapshot(spark, sf), tb.STRATEGY.eligibility)
     return staged(
         spark,
         sf,
         "scored",
-        lambda: cs.score_universe(screened, tb.STRATEGY),
+        lambda: cs.score_universe(snapshot(spark, sf), tb.STRATEGY, materialize=cut_lineage),
     )
 
 

@@ -78,9 +78,7 @@ def share_weights(spark, sf):
     """A portfolio per region: month's share of net revenue of each of its suppliers."""
 
     def build():
-        units = tb.lines(spark, sf).groupBy("security_id", "date").agg(
-            F.sum(tb.units(F.col("net"), 10_000)).alias("_u")
-        )
+        units = tb.monthly(spark, sf).select("security_id", "date", F.col("revenue").alias("_u"))
         named = units.join(tb.securities(spark, sf).drop("ticker"), "security_id")
         total = named.groupBy("sector_id", "date").agg(F.sum("_u").alias("_t"))
         return named.join(total, ["sector_id", "date"]).select(
@@ -95,7 +93,7 @@ def risk_inputs(spark, sf, weights):
     """Trailing returns of the held names and the benchmark, per portfolio and date."""
     days = tb.calendar(spark, sf)
     dates = days.join(F.broadcast(weights.select(F.col("as_of_date").alias("date")).distinct()), "date", "left_semi")
-    rets = staged(spark, sf, "grid_returns", lambda: se.with_returns(tb.grid(spark, sf)).select("security_id", "date", "pos", "ret"))
+    rets = pl.returns(spark, sf)
     trail = rk.trailing_returns(rets, dates, LOOKBACK)
     held = weights.select("portfolio_id", "as_of_date", "security_id")
     window = trail.join(held, ["as_of_date", "security_id"])
@@ -232,7 +230,7 @@ block("t_equity", "SELECT security_id, pos, product(1 + coalesce(ret, 0)) OVER (
 SELECT security_id, CASE WHEN dd <= -0.2 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, 'DRAWDOWN' AS code, round(dd, 6) AS drawdown
 FROM (SELECT security_id, arg_max(equity, pos) / max(equity) - 1 AS dd FROM t_equity GROUP BY 1) WHERE dd <= -0.1""")
 def _(spark, sf):
-    rets = se.with_returns(tb.grid(spark, sf))
+    rets = pl.returns(spark, sf)
     eq = rets.select("security_id", "pos", se.cumulative_growth("ret", ["security_id"], "pos").alias("equity"))
     return rounded(rk.drawdown_alerts(eq, ["security_id"], "pos"))
 
@@ -412,7 +410,7 @@ def attributed(spark, sf):
 
 
 def with_benchmark(spark, sf, df):
-    rets = se.equal_weight_returns(se.with_returns(tb.grid(spark, sf)))
+    rets = se.equal_weight_returns(pl.returns(spark, sf))
     bench = rets.join(F.broadcast(tb.calendar(spark, sf)), "date").select("pos", "benchmark_return")
     return df.join(F.broadcast(bench), "pos")
 
@@ -461,7 +459,7 @@ WITH a AS (SELECT pos, avg(ret) AS ret FROM t_returns WHERE pos > 0 GROUP BY 1),
 b AS (SELECT r.pos, avg(r.ret) AS ret FROM t_returns r WHERE r.pos > 0 AND r.security_id IN (SELECT security_id FROM t_prices WHERE pos = (SELECT max(pos) FROM t_calendar)) GROUP BY 1)
 SELECT round((SELECT product(1 + coalesce(ret, 0)) ** (12.0::DOUBLE / count(*)) FROM b) - (SELECT product(1 + coalesce(ret, 0)) ** (12.0::DOUBLE / count(*)) FROM a), 5) AS cagr_difference""")
 def _(spark, sf):
-    rets = se.with_returns(tb.grid(spark, sf)).where("pos > 0").select("security_id", "pos", "ret")
+    rets = pl.returns(spark, sf).where("pos > 0").select("security_id", "pos", "ret")
     last = tb.calendar(spark, sf).select(F.max("pos")).scalar()
     alive = tb.prices(spark, sf).where(F.col("pos") == last).select("security_id")
     both = rets.withColumn("series", F.lit("all")).unionByName(

@@ -55,11 +55,11 @@ def _(spark, sf):
 @query("book_weights", """
 WITH p AS (SELECT security_id, sum(qty) AS qty FROM t_fills GROUP BY 1 HAVING abs(sum(qty)) > 1e-9),
 v AS (SELECT p.security_id, p.qty, x.price, p.qty * coalesce(x.price, 0) AS value FROM p LEFT JOIN (SELECT security_id, arg_max(price_close, date) AS price FROM t_bars GROUP BY 1) x USING (security_id))
-SELECT security_id, qty, round(price, 5) AS price, round(value, 4) AS value, round(value / (SELECT sum(value) + 1000000 FROM v), 9) AS weight, security_id IN (SELECT security_id FROM t_securities WHERE sector_id <> 'ASIA') AS managed FROM v""".replace("round(price, 5) AS price, round(value, 4) AS value", "round(value, 3) AS value"))
+SELECT security_id, qty, round(price, 5) AS price, round(value, 4) AS value, round(value / (SELECT sum(value) + 1000000 FROM v), 9) AS weight, security_id IN (SELECT security_id FROM t_securities WHERE sector_id <> 'ASIA') AS managed FROM v""".replace("round(price, 5) AS price, round(value, 4) AS value", "value"))
 def _(spark, sf):
     managed = tb.securities(spark, sf).where("sector_id <> 'ASIA'")
     df = bk.book_weights(bk.implied_positions(fills(spark, sf)), bk.last_prices(tb.bars(spark, sf)), managed, 1_000_000.0)
-    return rounded(df.drop("price"), 9, value=3)
+    return rounded(df.drop("price"), 9, exact=("value",))
 
 
 EQUITY = 5_000_000.0
@@ -85,11 +85,11 @@ def _(spark, sf):
     return bk.pre_trade_checks(sized(spark, sf), KEYS, max_orders=15)
 
 
-@query("sized_orders", "SELECT portfolio_id, as_of_date, security_id, side, round(est, 1) AS est_notional FROM t_sized WHERE est IS NULL OR est >= 25")
+@query("sized_orders", "SELECT portfolio_id, as_of_date, security_id, side, round(qty, 2) AS qty FROM t_sized WHERE est IS NULL OR est >= 25")
 def _(spark, sf):
     from quantloom.operators.portfolio import sells_first
 
-    return rounded(sells_first(sized(spark, sf)).select(*KEYS, "security_id", "side", "est_notional"), 1)
+    return rounded(sells_first(sized(spark, sf)).select(*KEYS, "security_id", "side", "qty"), 2)
 
 
 @query("latest_order_per_customer", """

@@ -1,4 +1,4 @@
-"""Named queries with their checking SQL, and the shared staged tables behind them."""
+"""Named queries with their checking SQL."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.plans.oracle import with_tables
-from quantloom.session import cut_lineage
+from quantloom.plans.stage import forget_staged, staged
+
+__all__ = ["ORACLE", "QUERIES", "forget_staged", "query", "rounded", "staged"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -28,21 +29,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def staged(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table several queries start from (snapshots, signals, weights), written once.
-
-    It is a reliable checkpoint, so dependants neither replan nor recompute what produced it.
-    """
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _STAGED:
-        _STAGED[key] = cut_lineage(build())
-    return _STAGED[key]
-
-
-def forget_staged() -> None:
-    _STAGED.clear()
-
-
 def rounded(df: DataFrame, digits: int = 6, exact: tuple = (), **special: int) -> DataFrame:
     """Doubles rounded for comparison, except the ``exact`` ones; integers as bigint.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quantloom.config import MONTHLY, Costs, Eligibility, RiskLimits, Sizing, Strategy
 from quantloom.operators.calendar import trading_calendar, with_positions
+from quantloom.plans.stage import staged
 
 BARS = MONTHLY
 STRATEGY = Strategy(
@@ -31,7 +32,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def units(x: Column, scale: int) -> Column:
     """Exact integer units of a decimal amount stored as double."""
-    return F.round(x * F.lit(float(scale))).cast("long")
+    return F.rint(x * F.lit(float(scale))).cast("long")
 
 
 def securities(spark, sf) -> DataFrame:
@@ -63,38 +64,72 @@ def lines(spark, sf) -> DataFrame:
     )
 
 
-def bars(spark, sf) -> DataFrame:
+MEASURES = (
+    "revenue",
+    "gross_profit",
+    "ebitda",
+    "net_income",
+    "free_cash_flow",
+    "invested_capital",
+    "net_debt",
+)
+
+
+def monthly_sums(rows: DataFrame) -> DataFrame:
+    """Everything the market tables need, from one pass over the line items.
+
+    A row per supplier and month: integer sums that add up to quarters exactly, so neither the
+    bars nor the statements read the line items again.
+    """
+    net, gross = F.col("net"), F.col("gross")
+    tax = gross * F.col("l_tax")
+    amounts = {
+        "revenue": net,
+        "gross_profit": net - 0.6 * gross,
+        "ebitda": net - 0.65 * gross - tax,
+        "net_income": net - 0.75 * gross - tax,
+        "free_cash_flow": F.when(F.col("l_returnflag") == "R", -tax).otherwise(net - 0.7 * gross),
+        "invested_capital": 2 * gross,
+        "net_debt": gross * F.col("l_discount") - tax,
+    }
+    unit = net / F.col("qty")
+    return rows.groupBy("security_id", "date").agg(
+        F.sum("qty").alias("volume"),
+        F.sum(units(gross, 100)).alias("gross_units"),
+        F.min(F.struct("day", unit.alias("px"))).getField("px").alias("open"),
+        F.max(unit).alias("high"),
+        F.min(unit).alias("low"),
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if(F.col("l_returnflag") == "A").alias("n_revisions_up"),
+        F.count_if(F.col("l_returnflag") == "R").alias("n_revisions_down"),
+        *[F.sum(units(amounts[m], 10_000)).alias(m) for m in MEASURES],
+    )
+
+
+def monthly(spark, sf) -> DataFrame:
+    return staged(spark, sf, "monthly", lambda: monthly_sums(lines(spark, sf)))
+
+
+def bars_of(sums: DataFrame) -> DataFrame:
     """Monthly bars: ``close`` is net of discount (adjusted), ``price_close`` gross (traded)."""
-    unit = F.col("net") / F.col("qty")
-    return (
-        lines(spark, sf)
-        .groupBy("security_id", "date")
-        .agg(
-            F.sum("qty").alias("volume"),
-            F.sum(units(F.col("gross"), 100)).alias("_gross"),
-            F.sum(units(F.col("net"), 10_000)).alias("_net"),
-            F.min(F.struct("day", unit.alias("px"))).getField("px").alias("open"),
-            F.max(unit).alias("high"),
-            F.min(unit).alias("low"),
-        )
-        .select(
-            "security_id",
-            "date",
-            "open",
-            "high",
-            "low",
-            (F.col("_net") / F.lit(10_000.0) / F.col("volume")).alias("close"),
-            (F.col("_gross") / F.lit(100.0) / F.col("volume")).alias("price_close"),
-            "volume",
-        )
+    return sums.select(
+        "security_id",
+        "date",
+        "open",
+        "high",
+        "low",
+        (F.col("revenue") / F.lit(10_000.0) / F.col("volume")).alias("close"),
+        (F.col("gross_units") / F.lit(100.0) / F.col("volume")).alias("price_close"),
+        "volume",
     )
 
 
+def bars(spark, sf) -> DataFrame:
+    return bars_of(monthly(spark, sf))
+
+
 def calendar(spark, sf) -> DataFrame:
-    """Kept in memory: a row per month, read by nearly every query."""
-    return trading_calendar(
-        read(spark, sf, "lineitem").select(F.last_day("l_shipdate").alias("date"))
-    ).persist()
+    return staged(spark, sf, "calendar", lambda: trading_calendar(monthly(spark, sf)))
 
 
 def prices(spark, sf) -> DataFrame:
@@ -113,19 +148,10 @@ def quarter_end(day: str) -> Column:
 
 def fundamentals(spark, sf) -> DataFrame:
     """Quarterly statements; filed 25 to 59 days after the quarter ends."""
-    net, gross = F.col("net"), F.col("gross")
-    tax = gross * F.col("l_tax")
-    measures = {
-        "revenue": net,
-        "gross_profit": net - 0.6 * gross,
-        "ebitda": net - 0.65 * gross - tax,
-        "net_income": net - 0.75 * gross - tax,
-        "free_cash_flow": F.when(F.col("l_returnflag") == "R", -tax).otherwise(net - 0.7 * gross),
-        "invested_capital": 2 * gross,
-        "net_debt": gross * F.col("l_discount") - tax,
-    }
-    sums = lines(spark, sf).groupBy("security_id", quarter_end("day").alias("event_time")).agg(
-        *[F.sum(units(x, 10_000)).alias(name) for name, x in measures.items()]
+    sums = (
+        monthly(spark, sf)
+        .groupBy("security_id", quarter_end("date").alias("event_time"))
+        .agg(*[F.sum(m).alias(m) for m in MEASURES])
     )
     lag = (25 + F.col("security_id") % 35).cast("int")
     return sums.select(
@@ -133,15 +159,15 @@ def fundamentals(spark, sf) -> DataFrame:
         "event_time",
         F.date_add("event_time", lag).alias("available_at"),
         F.date_add("event_time", lag + 1).alias("ingested_at"),
-        *[(F.col(m) / F.lit(10_000.0)).alias(m) for m in measures],
+        *[(F.col(m) / F.lit(10_000.0)).alias(m) for m in MEASURES],
     )
 
 
 def shares(spark, sf) -> DataFrame:
     return (
-        lines(spark, sf)
-        .groupBy("security_id", quarter_end("day").alias("_end"))
-        .agg(F.sum("qty").alias("_qty"))
+        monthly(spark, sf)
+        .groupBy("security_id", quarter_end("date").alias("_end"))
+        .agg(F.sum("volume").alias("_qty"))
         .select(
             "security_id",
             F.date_add("_end", 20).alias("available_at"),
@@ -152,35 +178,19 @@ def shares(spark, sf) -> DataFrame:
 
 def estimates(spark, sf) -> DataFrame:
     """Monthly analyst snapshots: mean net line, accepted lines up, returned lines down."""
-    return (
-        lines(spark, sf)
-        .groupBy("security_id", F.col("date").alias("event_time"))
-        .agg(
-            F.sum(units(F.col("net"), 10_000)).alias("_net"),
-            F.count(F.lit(1)).alias("_n"),
-            F.count_if(F.col("l_returnflag") == "A").alias("n_revisions_up"),
-            F.count_if(F.col("l_returnflag") == "R").alias("n_revisions_down"),
-        )
-        .select(
-            "security_id",
-            "event_time",
-            F.date_sub("event_time", 3).alias("available_at"),
-            (F.col("_net") / F.lit(10_000.0) / F.col("_n")).alias("fy1_eps_estimate"),
-            "n_revisions_up",
-            "n_revisions_down",
-        )
+    return monthly(spark, sf).select(
+        "security_id",
+        F.col("date").alias("event_time"),
+        F.date_sub("date", 3).alias("available_at"),
+        (F.col("revenue") / F.lit(10_000.0) / F.col("n_lines")).alias("fy1_eps_estimate"),
+        "n_revisions_up",
+        "n_revisions_down",
     )
 
 
 def composition(spark, sf) -> DataFrame:
     """Composition snapshots: a security is a member in months in which it sold enough."""
-    return (
-        lines(spark, sf)
-        .groupBy("security_id", "date")
-        .agg(F.sum("qty").alias("_qty"))
-        .where("_qty >= 60")
-        .select("date", "security_id")
-    )
+    return monthly(spark, sf).where("volume >= 60").select("date", "security_id")
 
 
 def decision_dates(spark, sf) -> DataFrame:
