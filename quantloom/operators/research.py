@@ -273,7 +273,8 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, keys: Sequence[str] = ()
     raw = F.col(p) * m / F.row_number().over(order)
     step = df.withColumn("_raw", F.when(F.col(p).isNotNull(), raw))
     later = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return step.withColumn(out, F.least(F.min("_raw").over(later), F.lit(1.0))).drop("_raw")
+    q = F.least(F.min("_raw").over(later), F.lit(1.0))
+    return step.withColumn(out, F.when(F.col(p).isNotNull(), q)).drop("_raw")
 
 
 def mean_t(x: str) -> Column:
