@@ -202,16 +202,21 @@ def interval_join(
     end: str = "end",
     on: Sequence[str] = (),
     how: str = "inner",
+    points_are_dates: bool = False,
 ) -> DataFrame:
     """Points inside half-open intervals, as an equality join on the month (plus ``on``).
 
     An interval is offered to the months between its bounds, clipped to the months in which
-    points exist, and the exact test runs on the matches.
+    points exist, and the exact test runs on the matches. ``points_are_dates`` says that the
+    points are bare decision dates: bounded by the calendar, they are sent to the intervals
+    instead of gathering all members of a month in one task.
     """
     low = points.select(F.min(time)).scalar()
     high = points.select(F.max(time)).scalar()
     spans = with_months(intervals, start, end, low, high)
     timed = points.withColumn("_month", F.trunc(time, "month"))
+    if points_are_dates:
+        timed = F.broadcast(timed)
     keys = [*on, "_month"]
     right = spans.select(*[F.col(c).alias(f"_i_{c}") if c in keys else F.col(c) for c in spans.columns])
     condition = in_interval(time, start, end)
@@ -222,7 +227,8 @@ def interval_join(
 
 def members_at(dates: DataFrame, membership: DataFrame, date: str = "as_of_date") -> DataFrame:
     """``(date, security_id)`` for every member on every decision date."""
-    return interval_join(dates, membership, date).select(date, "security_id").distinct()
+    spans = interval_join(dates.select(date), membership, date, points_are_dates=True)
+    return spans.select(date, "security_id").distinct()
 
 
 def overlaps(

@@ -171,9 +171,8 @@ def coverage_by_year(
     ends = calendar.select(F.year("date").alias("year")).distinct().withColumn(
         "as_of_date", F.make_date("year", F.lit(12), F.lit(31))
     )
-    members = (
-        interval_join(ends, membership, "as_of_date").select("year", "security_id").distinct()
-    )
+    spans = interval_join(ends, membership, "as_of_date", points_are_dates=True)
+    members = spans.select("year", "security_id").distinct()
     priced = prices.where("close is not null").select("security_id").distinct()
     filed = facts.select("security_id").distinct()
     flagged = members.join(priced.withColumn("_p", F.lit(1.0)), "security_id", "left").join(
@@ -194,8 +193,8 @@ def resolve_company_ids(
     """Company number per security with the method that found it, most reliable first.
 
     ``securities``: security_id, is_current, listed_cik, removed_name, removed_key (normalised
-    name). ``by_ticker``: security_id, ticker_cik, ticker_title. ``by_name``: name_key, ciks
-    (array).
+    name). ``by_ticker``: security_id, ticker_cik, ticker_title. ``by_name``: name_key,
+    companies, only_cik.
     """
     joined = securities.join(by_ticker, "security_id", "left").join(
         by_name, F.col("removed_key") == F.col("name_key"), "left"
@@ -205,7 +204,7 @@ def resolve_company_ids(
     has_ticker = F.col("ticker_cik").isNotNull()
     named = F.coalesce(F.col("removed_name") != "", F.lit(False))
     checked = named & has_ticker & names_match("ticker_title", "removed_name")
-    unique = named & (F.size(F.coalesce("ciks", F.array().cast("array<bigint>"))) == 1)
+    unique = named & F.coalesce(F.col("companies") == 1, F.lit(False))
     # The labels of the five methods, in order of trust.
     method = (
         F.when(listed, "wikipedia")
@@ -218,7 +217,7 @@ def resolve_company_ids(
     out = joined.withColumn("method", method)
     cik = (
         F.when(F.col("method") == "wikipedia", F.col("listed_cik"))
-        .when(F.col("method") == "sec_name_lookup", F.try_element_at("ciks", F.lit(1)))
+        .when(F.col("method") == "sec_name_lookup", F.col("only_cik"))
         .when(F.col("method") != "unresolved", F.col("ticker_cik"))
     )
     return out.select("security_id", cik.alias("cik"), "method")

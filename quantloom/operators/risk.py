@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.config import RiskLimits
+from quantloom.functions.ranking import group_quantiles
 from quantloom.operators.crosssection import EXIT
 
 
@@ -68,8 +69,8 @@ def covariance_model(
         F.sum(F.when(F.col("k") == F.col("l"), F.col("g") ** 2)).alias("_x4"),
         F.sum(F.when(F.col("k") == F.col("l"), F.col("g"))).alias("_trace"),
     )
-    sized = variances.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("p"), F.percentile("variance", 0.5).alias("_median")
+    sized = group_quantiles(variances, keys, "variance", {"_median": 0.5}).withColumnRenamed(
+        "n_total", "p"
     )
     n, p = F.col("n").cast("double"), F.col("p").cast("double")
     s2 = F.col("_g2") / (n * n)

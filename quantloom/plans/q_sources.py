@@ -191,12 +191,19 @@ def _(spark, sf):
 
 
 @query("company_number_lookup", """
-SELECT name_key, array_to_string(list_sort(list(DISTINCT p_partkey)), ',') AS ciks FROM t_part_names WHERE name_key <> '' GROUP BY 1""")
+SELECT DISTINCT name_key, p_partkey AS cik FROM t_part_names WHERE name_key <> ''""")
 def _(spark, sf):
     raw = F.concat(F.lit("The "), "p_name", F.lit(" & "), "p_type", F.lit(" Co., Inc."))
     lines = tb.read(spark, sf, "part").select(F.concat(raw, F.lit(":"), F.col("p_partkey").cast("string"), F.lit(":")).alias("value"))
-    found = text.parse_name_lookup(lines)
-    return found.select("name_key", F.array_join(F.transform("ciks", lambda c: c.cast("string")), ",").alias("ciks"))
+    return text.parse_name_lookup(lines)
+
+
+@query("unique_company_names", """
+SELECT name_key, count(*) AS companies, CASE WHEN count(*) = 1 THEN min(p_partkey) END AS only_cik FROM t_part_names WHERE name_key <> '' GROUP BY 1""")
+def _(spark, sf):
+    raw = F.concat(F.lit("The "), "p_name", F.lit(" & "), "p_type", F.lit(" Co., Inc."))
+    pairs = tb.read(spark, sf, "part").select(sc.normalize_company_name(raw).alias("name_key"), F.col("p_partkey").alias("cik"))
+    return text.unique_names(pairs.where("name_key <> ''"))
 
 
 @query("composition_rows", """
@@ -393,7 +400,7 @@ def _(spark, sf):
     secs = base.select(k.alias("security_id"), (k % 2 == 0).alias("is_current"), F.when(k % 3 == 0, k * 10).alias("listed_cik"),
                        name.alias("removed_name"), sc.normalize_company_name(name).alias("removed_key"))
     tickers = base.where(k % 5 != 0).select(k.alias("security_id"), (k * 100).alias("ticker_cik"), F.concat("s_name", F.lit(" Inc")).alias("ticker_title"))
-    names = base.select(sc.normalize_company_name("s_name").alias("name_key"), F.array(k * 1000).alias("ciks"))
+    names = text.unique_names(base.select(sc.normalize_company_name("s_name").alias("name_key"), (k * 1000).alias("cik")))
     return iv.resolve_company_ids(secs, tickers, names)
 
 

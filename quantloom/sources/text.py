@@ -17,11 +17,7 @@ from quantloom.functions.scalars import (
 
 
 def parse_name_lookup(lines: DataFrame, text: str = "value") -> DataFrame:
-    """``NAME:NUMBER:`` lines (the name may hold colons) as ``(name_key, ciks)``.
-
-    Numbers are folded to distinct pairs before they are gathered; a name has as many numbers
-    as there are companies of that name.
-    """
+    """``NAME:NUMBER:`` lines (the name may hold colons) as distinct ``(name_key, cik)``."""
     trimmed = F.rtrim(F.col(text))
     pattern = r"^(.*):([^:]*):([^:]*)$"
     short = r"^([^:]*):([^:]*)$"
@@ -35,8 +31,17 @@ def parse_name_lookup(lines: DataFrame, text: str = "value") -> DataFrame:
     )
     parsed = lines.select(normalize_company_name(name).alias("name_key"), number.alias("_n"))
     valid = parsed.where((F.col("name_key") != "") & F.col("_n").rlike("^[0-9]+$"))
-    pairs = valid.select("name_key", F.col("_n").cast("bigint").alias("cik")).distinct()
-    return pairs.groupBy("name_key").agg(F.sort_array(F.collect_list("cik")).alias("ciks"))
+    return valid.select("name_key", F.col("_n").cast("bigint").alias("cik")).distinct()
+
+
+def unique_names(pairs: DataFrame) -> DataFrame:
+    """How many companies share a name, and the number when there is just one. Nothing is
+    gathered per name, however many companies have it."""
+    counted = pairs.groupBy("name_key").agg(
+        F.count(F.lit(1)).alias("companies"), F.min("cik").alias("_cik")
+    )
+    only = F.when(F.col("companies") == 1, F.col("_cik")).alias("only_cik")
+    return counted.select("name_key", "companies", only)
 
 
 def parse_composition(table: DataFrame) -> DataFrame:
