@@ -536,28 +536,6 @@ def _(spark, sf):
     return rounded(pf.backtest_totals(trades, rebalances, holdings), 6, total_costs_usd=3)
 
 
-def model_risk(spark, sf):
-    """Risk of any weight table keyed by date, as :func:`enforce_limits` needs it."""
-
-    def risk(weights):
-        named = weights.withColumn("portfolio_id", F.lit("model"))
-        window, index = risk_inputs(spark, sf, named)
-        report, contributions = rk.risk_report(named, window, index, KEYS, periods=12)
-        return report, contributions
-
-    return risk
-
-
-@query("risk_enforced_weights")
-def _(spark, sf):
-    """Year-end model portfolios with limits as constraints (iterative; tested by invariants)."""
-    names = tb.securities(spark, sf).select("security_id", "industry_id")
-    base = target(spark, sf).where("month(as_of_date) = 12 and year(as_of_date) >= 1998").join(names, "security_id")
-    base = base.select("as_of_date", "security_id", "sector_id", "industry_id", "weight").withColumn("portfolio_id", F.lit("model"))
-    out = po.enforce_limits(base, KEYS, model_risk(spark, sf), (SIZING.max_position_weight, SIZING.max_sector_weight), LIMITS, max_rounds=8)
-    return rounded(out.select("as_of_date", "security_id", "weight"))
-
-
 @query("proposal_orders", """
 SELECT portfolio_id, as_of_date, o.security_id, round(delta * 1000000, 2) AS estimated_notional_usd, s.ticker,
   CASE WHEN g.decision IS NOT NULL THEN 'scored' ELSE 'unscored' END AS status

@@ -34,10 +34,11 @@ def test_caps_match_the_plain_loop(spark):
         want.update({(seed, i): x for i, x in enumerate(brute_caps(w, s, 0.08, 0.25))})
         rows += [(seed, i, str(s[i]), float(w[i])) for i in range(n)]
     df = spark.createDataFrame(rows, "portfolio_id int, security_id long, sector_id string, weight double")
-    got = po.apply_weight_caps(df, ["portfolio_id"]).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert r.weight == pytest.approx(want[(r.portfolio_id, r.security_id)], abs=1e-8)
+    for cap in (po.cap_bounded_portfolios, po.apply_weight_caps):
+        got = cap(df, ["portfolio_id"]).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.weight == pytest.approx(want[(r.portfolio_id, r.security_id)], abs=1e-8)
 
 
 def weights(spark, rows):
