@@ -79,9 +79,8 @@ def running(
     No group meets one task: the hash cuts each group into ``buckets`` ranges, a window runs inside
     ``(group, range)`` only, and the offsets come from a table of one row per ``(group, range)``.
     """
-    width = (2**64) // buckets
-    bucket = F.floor((F.col(order[0]).cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")) / F.lit(width)).cast("int")
-    df = df.withColumn("_bucket", F.least(bucket, F.lit(buckets - 1)))
+    bits = max(1, (buckets - 1).bit_length())
+    df = df.withColumn("_bucket", F.shiftright(F.col(order[0]), 64 - bits).cast("int"))
     groups = [*keys, "_bucket"]
     value = lambda c: F.lit(1).cast("long") if c == "1" else F.col(c).cast("long")
     totals = df.groupBy(*groups).agg(*(F.sum(value(c)).alias(f"_all_{n}") for n, c in sums.items()))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import suffix_decontamination
+from quantloom.llm import mixing, sharding, suffix_decontamination
 from quantloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,30 @@ def query(name: str, sql: str | None = None):
 )
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op5_source_mix",
+    r"""
+    WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                      substr(md5(concat_ws('|', CAST(doc_id AS VARCHAR), text)), 1, 15) AS h FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place FROM d GROUP BY source),
+    w AS (SELECT *, CAST([5, 2, 1][place % 3 + 1] AS DOUBLE) AS w, source_size * 2 AS cap, (SELECT sum(source_size) FROM s) * 1.5::DOUBLE AS goal FROM s),
+    r AS (SELECT a.place, (a.goal - (SELECT coalesce(sum(b.cap), 0) FROM w b WHERE (b.cap / b.w, b.place) < (a.cap / a.w, a.place)))
+                 / (SELECT sum(b.w) FROM w b WHERE (b.cap / b.w, b.place) >= (a.cap / a.w, a.place)) AS level, a.cap / a.w AS room FROM w a),
+    lvl AS (SELECT level FROM r WHERE level <= room ORDER BY room, place LIMIT 1),
+    t AS (SELECT w.*, CASE WHEN (SELECT count(*) FROM lvl) = 0 THEN CAST(cap AS DOUBLE) ELSE least((SELECT level FROM lvl) * w, CAST(cap AS DOUBLE)) END AS target FROM w),
+    l AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS n,
+                 CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target,
+           CAST(greatest(0, least(n, a + size) - a) + greatest(0, least(n, a + size + source_size) - a - source_size) AS BIGINT) AS taken FROM l
+    """,
+)
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+@query("op6_kd_shards")
+def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), shards=8)
