@@ -167,7 +167,7 @@ def _mark(batches: Iterator[pa.RecordBatch], block, window: int, size: int) -> I
             place, which = hits(bench, words) if bench.shortest else (words[:0], words[:0])
             doc = np.searchsorted(starts, place, "right") - 1
             cut = np.flatnonzero(np.diff(doc, prepend=-1))
-            for a, b in zip(cut, [*cut[1:], len(doc)], strict=True):
+            for a, b in zip(cut, [*cut[1:], len(doc)], strict=False):  # none of either without hits
                 row = first + int(doc[a])
                 own = spans_of(place[a:b] - starts[doc[a]], bench.length[which[a:b]])
                 spans[row] = merged([*spans[row], *own]) if spans[row] else own
