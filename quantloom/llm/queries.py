@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import mixing, sharding, suffix_decontamination
+from quantloom.llm import chat, html_extract, license_scan, mixing, sharding, suffix_decontamination
 from quantloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,29 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_kd_shards")
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), shards=8)
+
+
+@query(
+    "op4_chat_rendering",
+    r"""
+    WITH c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l FROM conversations GROUP BY conv_id),
+    p AS (SELECT DISTINCT md5(CAST(l[1:k] AS VARCHAR)) AS h, k FROM (SELECT l, unnest(generate_series(1, len(l) - 1)) AS k FROM c)),
+    o AS (SELECT conv_id, l, md5(CAST(l AS VARCHAR)) AS h FROM c ANTI JOIN p ON p.k = len(c.l) AND p.h = md5(CAST(c.l AS VARCHAR))),
+    m AS (SELECT min(conv_id) AS conv_id, any_value(l) AS l FROM o GROUP BY h)
+    SELECT conv_id, CAST(len(l) AS BIGINT) AS n_turns,
+           array_to_string(['<|im_start|>' || replace(replace(coalesce(x.r, 'user'), '<|', '<'), '|>', '>') || chr(10)
+               || replace(replace(coalesce(x.t, ''), '<|', '<'), '|>', '>') || '<|im_end|>' FOR x IN l], chr(10)) AS text FROM m
+    """,
+)
+def op4_chat_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_labels(table(spark, sf_dir, "documents"))
+
+
+@query("op8_main_text")
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
