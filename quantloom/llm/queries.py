@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import chat, html_extract, license_scan, mixing, sharding, suffix_decontamination
+from quantloom.llm import backoff_lm, chat, html_extract, license_scan, mixing, quality_cnn, sharding, suffix_decontamination
 from quantloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_main_text")
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op2_backoff_scores")
+def op2_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.language_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_cnn")
+def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
