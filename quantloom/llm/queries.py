@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import backoff_lm, chat, html_extract, license_scan, mixing, quality_cnn, sharding, suffix_decontamination
+from quantloom.llm import backoff_lm, chat, html_extract, jaccard_join, license_scan, mixing, quality_cnn, sharding, suffix_decontamination
 from quantloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,23 @@ def op2_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_cnn")
 def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op3_jaccard_components",
+    r"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+          FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    l AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT u, v FROM l JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * o >= 80 * (x.n + y.n - o)),
+    uv AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+    r(u, v) AS (SELECT u, v FROM uv UNION SELECT r.u, uv.v FROM r JOIN uv ON r.v = uv.u)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce((SELECT min(v) FROM r WHERE r.u = d.doc_id), d.doc_id)) AS component_id
+    FROM d LEFT JOIN n USING (doc_id)
+    """,
+)
+def op3_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
