@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import backoff_lm, chat, html_extract, jaccard_join, license_scan, mixing, quality_cnn, sharding, suffix_decontamination
+from quantloom.llm import backoff_lm, chat, html_extract, jaccard_join, license_scan, mixing, posting_lists, quality_cnn, sharding, suffix_decontamination
 from quantloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op3_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op10_posting_lists")
+def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.neighbours(table(spark, sf_dir, "embeddings"))
