@@ -66,8 +66,9 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     # Every place where a conversation goes on: one row for each prefix, however many share it.
     ends = last.select("conv_id", F.col("position").alias("_end"))
     inner = hashed.join(ends, hashed["conv_id"].eqNullSafe(ends["conv_id"])).where("position < _end").select(*key).distinct()
-    open_ = last.join(inner, key, "left_anti")
-    kept = open_.groupBy(*key).agg(F.min(F.struct(F.col("conv_id").isNotNull(), "conv_id")).alias("best")).select("best.conv_id")
+    # Equal conversations are one row for each map task before they meet.
+    best = last.groupBy(*key).agg(F.min(F.struct(F.col("conv_id").isNotNull(), "conv_id")).alias("best"))
+    kept = best.join(inner, key, "left_anti").select("best.conv_id")
     return hashed.join(kept, hashed["conv_id"].eqNullSafe(kept["conv_id"]), "left_semi")
 
 
