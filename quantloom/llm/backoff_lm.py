@@ -37,6 +37,17 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % folds == 0, F.lit(False))
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as one byte each, 255 standing for the next of the larger ones behind."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def unpacked(held: bytes, size: int) -> np.ndarray:
+    counts = np.frombuffer(held, np.uint8, size).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(held, np.int64, offset=size)
+    return counts
+
+
 class Grams:
     """The n-grams of a block. ``ids[k]``: at each place the number of the n-gram of order k + 1 that
     ends there, -1 where history is too short; ``hashes[k]``, ``context[k]``, ``suffix[k]`` by number."""
@@ -88,11 +99,11 @@ def _requests(group: pa.Table, order: int, parts: int) -> pa.Table:
         levels.append((k + 1, h, c))
     for level, h, c in levels:
         by = np.argsort(h, kind="stable")
-        h, c = h[by], c[by].astype(np.uint32)
+        h, c = h[by], c[by]
         part = (h % np.uint64(parts)).astype(np.int64)
         for p in range(parts) if level == 1 else np.unique(part):
             mine = part == p
-            rows.append((int(p), level, h[mine].tobytes(), c[mine].tobytes()))
+            rows.append((int(p), level, h[mine].tobytes(), packed(c[mine])))
     columns = list(zip(*rows, strict=True))
     block = group.column("block")[0].as_py()
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
@@ -106,7 +117,7 @@ def _answers(group: pa.Table) -> pa.Table:
     """The totals of each request of one part, and the part's training words and distinct ones."""
     level = group.column("level").to_numpy()
     asked = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
-    added = [np.frombuffer(c, np.uint32) for c in group.column("counts").to_pylist()]
+    added = [unpacked(c, len(g)) for c, g in zip(group.column("counts").to_pylist(), asked, strict=True)]
     totals: list[bytes] = [b""] * len(asked)
     words = distinct = 0
     for k in np.unique(level):
@@ -116,7 +127,7 @@ def _answers(group: pa.Table) -> pa.Table:
         np.add.at(total, which, np.concatenate([added[r] for r in rows]))
         at = 0
         for r in rows:
-            totals[r] = total[which[at : at + len(asked[r])]].tobytes()
+            totals[r] = packed(total[which[at : at + len(asked[r])]])
             at += len(asked[r])
         if k == 1:
             words, distinct = int(total.sum()), int((total > 0).sum())
@@ -201,10 +212,10 @@ class Automaton:
 def _scores(docs: pa.Table, answers: pa.Table, order: int, parts: int, prior: tuple[float, ...]) -> pa.Table:
     texts = binary(docs.column("text").combine_chunks())
     grams = Grams(texts, order)
-    given: dict[tuple[int, int], np.ndarray] = {}
+    given: dict[tuple[int, int], bytes] = {}
     words = distinct = 0
     for row in answers.to_pylist():
-        given[row["part"], row["level"]] = np.frombuffer(row["totals"], np.int64)
+        given[row["part"], row["level"]] = row["totals"]
         if row["level"] == 1:
             words, distinct = words + row["words"], distinct + row["distinct"]
     totals = []
@@ -214,9 +225,10 @@ def _scores(docs: pa.Table, answers: pa.Table, order: int, parts: int, prior: tu
         which = which[np.argsort(h[which], kind="stable")]
         part = (h[which] % np.uint64(parts)).astype(np.int64)
         for p in np.unique(part):
-            out[which[part == p]] = given[int(p), k + 1]
+            mine = which[part == p]
+            out[mine] = unpacked(given[int(p), k + 1], len(mine))
         if k == 0:
-            out[BEGIN] = given[int(h[BEGIN] % np.uint64(parts)), 0][0]
+            out[BEGIN] = unpacked(given[int(h[BEGIN] % np.uint64(parts)), 0], 1)[0]
         totals.append(out)
     model = Automaton(grams, totals, words, distinct, prior)
     model.root = model.root.tolist()
