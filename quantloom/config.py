@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field, fields, is_dataclass, replace
-from itertools import product
+from math import prod
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Factor families and the direction of each of their features
 # (True = higher is better).
@@ -181,10 +184,19 @@ def apply_overrides(base: Strategy, changes: Mapping[str, object], version: str
     return replace(out, strategy_version=version) if version else out
 
 
-def expand_grid(grid: Mapping[str, Iterable[object]]) -> list[dict[str, object]]:
-    """All combinations of a small parameter grid, first key slowest."""
-    names = list(grid)
-    return [dict(zip(names, values)) for values in product(*(list(grid[n]) for n in names))]
+def configuration_grid(spark: SparkSession, grid: Mapping[str, Sequence]) -> DataFrame:
+    """All combinations of a parameter grid as a table: config_id, one column a parameter.
+
+    The number of a configuration has a digit for each parameter (the first one the highest), and
+    each column looks its value up by its digit.
+    """
+    total = prod(len(values) for values in grid.values())
+    columns, below = [], total
+    for name, values in grid.items():
+        below //= len(values)
+        digit = (F.col("id") / below).cast("long") % len(values)
+        columns.append(F.get(F.array(*map(F.lit, values)), digit.cast("int")).alias(name))
+    return spark.range(total).select(F.col("id").alias("config_id"), *columns)
 
 
 def scoring_fields(strategy: Strategy) -> dict[str, object]:

@@ -86,7 +86,10 @@ def strip_footnotes(c: str | Column) -> Column:
 
 def parse_mixed_date(
     c: str | Column,
-    formats: Sequence[str] = ("yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy", "yyyyMMdd"),
+    formats: Sequence[str] = (
+        "yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy", "yyyyMMdd", "yyyy/M/d", "yyyy-M-d",
+        "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "d MMMM yyyy", "d MMM yyyy", "M-d-yyyy", "MMMM d yyyy",
+    ),
 ) -> Column:
     """First format that reads the text wins; unreadable text is null."""
     text = strip_footnotes(c)

@@ -75,7 +75,8 @@ def fold_to_schedule(
     tagged = None
     for i, s in enumerate(sources):
         moved = F.date_add(s.time, s.lag_days) if s.lag_days else F.col(s.time)
-        part = s.table.select(
+        # ``greatest`` skips nulls: a fact without a time would be visible from the first date on.
+        part = s.table.where(F.col(s.time).isNotNull()).select(
             key,
             F.greatest(moved, first).alias("day"),
             F.struct(*s.values).alias(f"_fact{i}"),

@@ -301,13 +301,9 @@ def spread_summary(spreads: DataFrame, value: str, periods_per_year: int, name:
     return one.withColumn("mean_ic", F.col("mean_ic") * periods_per_year)
 
 
-def ic_by_year(ic: DataFrame, years: Sequence[int], value: str = "ic") -> DataFrame:
-    """Mean per factor and calendar year, one column per listed year."""
-    return (
-        ic.withColumn("_year", F.year("as_of_date"))
-        .groupBy("factor")
-        .agg(*[F.avg(F.when(F.col("_year") == y, F.col(value))).alias(f"y{y}") for y in years])
-    )
+def ic_by_year(ic: DataFrame, value: str = "ic") -> DataFrame:
+    """Mean per factor and calendar year, for every year that occurs."""
+    return ic.groupBy("factor", F.year("as_of_date").alias("year")).agg(F.avg(value).alias(value))
 
 
 def monotonicity(means: Sequence[str]) -> Column:

@@ -19,19 +19,31 @@ def trailing_returns(returns: DataFrame, dates: DataFrame, lookback: int) -> Dat
     is exploded to positions (dates x lookback rows, bounded by the calendar), which turns the
     range condition into an equality.
     """
-    reach = dates.select(
+    # Before the first return there is nothing to reach: a sequence from 1 to 0 would run backwards.
+    reach = dates.where("pos > 0").select(
         F.col("date").alias("as_of_date"),
         F.explode(
             F.sequence(F.greatest(F.col("pos") - (lookback - 1), F.lit(1)), F.col("pos"))
         ).alias("pos"),
-    ).where("pos > 0")
-    return returns.join(F.broadcast(reach), "pos").select("as_of_date", "security_id", "date", "ret")
+    )
+    return returns.join(reach, "pos").select("as_of_date", "security_id", "date", "ret")
+
+
+def held_returns(returns: DataFrame, held: DataFrame, days: DataFrame, lookback: int) -> DataFrame:
+    """The look-back returns of holdings: starts from ``held`` (as_of_date, security_id and other
+    keys), spreads each holding over its positions and joins by (security_id, pos), so no return of
+    a name that nobody holds is multiplied. ``days``: date, pos."""
+    at = held.join(days.select(F.col("date").alias("as_of_date"), F.col("pos").alias("_at")), "as_of_date")
+    first = F.greatest(F.col("_at") - (lookback - 1), F.lit(1))
+    spread = at.where("_at > 0").withColumn("pos", F.explode(F.sequence(first, F.col("_at"))))
+    return spread.join(returns, ["security_id", "pos"]).select(*held.columns, "date", "ret")
 
 
 # Normal quantile and expected-shortfall multiple at 95 %.
 Z_95 = 1.6448536269514722
 ES_95 = 2.0627128075074257
 MIN_HISTORY = 20
+SALTS = 8
 TOLERANCE = 1e-6
 
 
@@ -101,54 +113,51 @@ def covariance_model(
 def date_gram(centred: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
     """``(keys, k, l, g)``: sums over names of ``x_k * x_l`` for date pairs ``k <= l``.
 
-    Each task folds its names into one date x date matrix per key with a matrix product and
-    emits that; Spark adds the partial matrices. A name's series is at most the look-back.
+    The names of a key are dealt to ``SALTS`` groups; each gives one packed date x date matrix, whose
+    size the look-back bounds, and these are added cell by cell.
     """
     keys = list(keys)
     series = centred.groupBy(*keys, "security_id").agg(
         F.sort_array(F.collect_list(F.struct(F.col(date).alias("d"), "x"))).alias("s")
     )
-    packed = series.select(
-        F.to_json(F.struct(*keys)).alias("key"), F.col("s.d").alias("d"), F.col("s.x").alias("x")
+    salted = series.select(
+        *keys,
+        F.pmod(F.xxhash64("security_id"), F.lit(SALTS)).cast("int").alias("salt"),
+        F.col("s.d").alias("d"),
+        F.col("s.x").alias("x"),
     )
+    kinds = dict(centred.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", days array<date>, g array<double>"
 
-    def fold(batches):
+    def fold(group):
         import numpy as np
-        import pandas as pd
-
-        sums: dict = {}
-        dates: dict = {}
-        for frame in batches:
-            for key, part in frame.groupby("key", sort=False):
-                days = sorted({d for row in part["d"] for d in row})
-                place = {d: i for i, d in enumerate(days)}
-                x = np.zeros((len(part), len(days)))
-                for r, (ds, xs) in enumerate(zip(part["d"], part["x"])):
-                    x[r, [place[d] for d in ds]] = xs
-                known = dates.setdefault(key, [])
-                if known != days:
-                    merged = sorted(set(known) | set(days))
-                    index = {d: i for i, d in enumerate(merged)}
-                    grown = np.zeros((len(merged), len(merged)))
-                    if known:
-                        at = [index[d] for d in known]
-                        grown[np.ix_(at, at)] = sums[key]
-                    sums[key], dates[key] = grown, merged
-                index = {d: i for i, d in enumerate(dates[key])}
-                at = [index[d] for d in days]
-                sums[key][np.ix_(at, at)] += x.T @ x
-        for key, g in sums.items():
-            i, j = np.triu_indices(len(g))
-            days = np.array(dates[key], dtype=object)
-            yield pd.DataFrame({"key": key, "k": days[i], "l": days[j], "g": g[i, j]})
-
-    partial = packed.mapInPandas(fold, "key string, k date, l date, g double")
-    kinds = dict(centred.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    total = partial.groupBy("key", "k", "l").agg(F.sum("g").alias("g"))
-    return total.select(F.from_json("key", schema).alias("_k"), "k", "l", "g").select(
-        "_k.*", "k", "l", "g"
+        import pyarrow as pa
+
+        days = sorted(set(group.column("d").combine_chunks().flatten().to_pylist()))
+        place = {day: i for i, day in enumerate(days)}
+        total = np.zeros((len(days), len(days)))
+        for batch in group.to_batches(max_chunksize=1024):
+            rows = np.zeros((batch.num_rows, len(days)))
+            for r, (own, values) in enumerate(zip(batch.column("d").to_pylist(), batch.column("x").to_pylist())):
+                rows[r, [place[day] for day in own]] = values
+            total += rows.T @ rows
+        named = {k: group.column(k).slice(0, 1) for k in keys}
+        packed = {
+            "days": pa.array([days], pa.list_(pa.date32())),
+            "g": pa.array([total.ravel().tolist()], pa.list_(pa.float64())),
+        }
+        return pa.table({**named, **packed})
+
+    parts = salted.groupBy(*keys, "salt").applyInArrow(fold, schema)
+    n = F.size("days")
+    cell = F.posexplode("g").alias("at", "v")
+    spread = parts.select(*keys, "days", cell).select(
+        *keys,
+        F.get("days", F.floor(F.col("at") / n).cast("int")).alias("k"),
+        F.get("days", (F.col("at") % n).cast("int")).alias("l"),
+        "v",
     )
+    return spread.where("k <= l").groupBy(*keys, "k", "l").agg(F.sum("v").alias("g"))
 
 
 def risk_report(

@@ -235,11 +235,9 @@ def _(spark, sf):
 
 @query("statement_overlap", """
 SELECT DISTINCT f.security_id FROM t_fundamentals f JOIN t_members m ON m.security_id = f.security_id
- AND (m.start_date IS NULL OR m.start_date <= f.event_time) AND (m.end_date IS NULL OR m.end_date > f.event_time)
- AND (m.start_date IS NOT NULL OR m.end_date IS NOT NULL)""")
+ AND (m.start_date IS NULL OR m.start_date <= f.event_time) AND (m.end_date IS NULL OR m.end_date > f.event_time)""")
 def _(spark, sf):
-    bounded = membership(spark, sf).where("start is not null or end is not null")
-    return asof.overlaps(tb.fundamentals(spark, sf), bounded)
+    return asof.overlaps(tb.fundamentals(spark, sf), membership(spark, sf))
 
 
 def splits(spark, sf):
@@ -348,12 +346,11 @@ def _(spark, sf):
 
 @query("trailing_returns", """
 SELECT d.date AS as_of_date, r.security_id, r.date, round(r.ret, 6) AS ret
-FROM t_calendar d JOIN t_returns r ON r.pos > d.pos - 6 AND r.pos <= d.pos AND r.pos > 0
-WHERE month(d.date) IN (6, 12)""")
+FROM t_calendar d JOIN t_returns r ON r.pos > d.pos - 6 AND r.pos <= d.pos AND r.pos > 0""")
 def _(spark, sf):
     from quantloom.operators.risk import trailing_returns
 
-    dates = tb.calendar(spark, sf).where("month(date) in (6, 12)")
+    dates = tb.calendar(spark, sf)
     rets = se.with_returns(tb.grid(spark, sf))
     return rounded(trailing_returns(rets, dates, 6))
 

@@ -21,7 +21,7 @@ SELECT s.sector_id AS portfolio_id, date AS as_of_date, security_id, s.sector_id
 FROM (SELECT security_id, date, sum(CAST(round(net * 10000) AS BIGINT)) AS u FROM t_lines GROUP BY 1, 2) l
 JOIN t_securities s USING (security_id)
 """)
-block("t_risk_weights", "SELECT * FROM t_share_weights WHERE month(as_of_date) = 12 AND year(as_of_date) BETWEEN 1997 AND 2000")
+block("t_risk_weights", "SELECT * FROM t_share_weights")
 block("t_window", f"""
 SELECT w.portfolio_id, w.as_of_date, w.security_id, w.weight, r.date, coalesce(r.ret, 0) AS ret, r.ret IS NOT NULL AS known
 FROM t_risk_weights w JOIN t_calendar c ON c.date = w.as_of_date
@@ -92,18 +92,16 @@ def share_weights(spark, sf):
 def risk_inputs(spark, sf, weights):
     """Trailing returns of the held names and the benchmark, per portfolio and date."""
     days = tb.calendar(spark, sf)
-    dates = days.join(F.broadcast(weights.select(F.col("as_of_date").alias("date")).distinct()), "date", "left_semi")
     rets = pl.returns(spark, sf)
-    trail = rk.trailing_returns(rets, dates, LOOKBACK)
     held = weights.select("portfolio_id", "as_of_date", "security_id")
-    window = trail.join(held, ["as_of_date", "security_id"])
+    window = rk.held_returns(rets, held, days, LOOKBACK)
     bench = se.equal_weight_returns(rets)
     index = window.select("portfolio_id", "as_of_date", "date").distinct().join(F.broadcast(bench), "date", "left")
     return window, index
 
 
 def risk_tables(spark, sf):
-    weights = share_weights(spark, sf).where("month(as_of_date) = 12 and year(as_of_date) between 1997 and 2000")
+    weights = share_weights(spark, sf)
     window = staged(spark, sf, "risk_window", lambda: risk_inputs(spark, sf, weights)[0])
     index = risk_inputs(spark, sf, weights)[1]
     report, contributions = rk.risk_report(weights, window, index, KEYS, periods=12)
@@ -132,7 +130,7 @@ def _(spark, sf):
 
 @query("covariance_shrinkage", "SELECT portfolio_id, as_of_date, n::BIGINT AS n, p::BIGINT AS p, round(mu, 6) AS mu, round(shrink, 6) AS shrink FROM t_lw")
 def _(spark, sf):
-    weights = share_weights(spark, sf).where("month(as_of_date) = 12 and year(as_of_date) between 1997 and 2000")
+    weights = share_weights(spark, sf)
     window = staged(spark, sf, "risk_window", lambda: risk_inputs(spark, sf, weights)[0])
     return rounded(rk.covariance_model(window, KEYS)[1].select(*KEYS, "n", "p", "mu", "shrink"))
 

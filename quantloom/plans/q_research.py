@@ -8,14 +8,11 @@ from quantloom.config import FAMILIES, FEATURES
 from quantloom.functions import ranking as rk
 from quantloom.operators import crosssection as cs, research as rs
 from quantloom.plans import pipeline as pl, testbed as tb
-from quantloom.plans.candidates import SPLIT
+from quantloom.plans.candidates import CANDIDATES, SPLIT
 from quantloom.plans.oracle import block, percentile_sql, spearman_sql
 from quantloom.plans.q_market import rs as rnd
 from quantloom.plans.registry import query, rounded, staged
 
-YEARS = (1996, 1997, 1998, 1999, 2000, 2001)
-
-
 @query("forward_returns", "SELECT as_of_date, security_id, horizon::BIGINT AS horizon, round(forward_return, 6) AS forward_return, exit_date FROM t_forward")
 def _(spark, sf):
     return rounded(pl.forward(spark, sf))
@@ -53,18 +50,18 @@ def _(spark, sf):
     return rounded(pl.panel_coverage(spark, sf))
 
 
-CORRELATED = tuple(FEATURES)
+CORRELATED = tuple(name for name, _, _ in CANDIDATES)
 block("t_corr", """
 SELECT a.as_of_date, a.factor AS factor_a, b.factor AS factor_b,
   CASE WHEN min(a.pct) < max(a.pct) AND min(b.pct) < max(b.pct) THEN corr(a.pct, b.pct) END AS corr
 FROM t_pct_ord a JOIN t_pct_ord b ON a.as_of_date = b.as_of_date AND a.security_id = b.security_id AND a.o <= b.o GROUP BY 1, 2, 3
 """)
-block("t_pct_ord", "SELECT p.*, o.o FROM t_pct p JOIN (VALUES " + ", ".join(
+block("t_pct_ord", "SELECT p.*, o.o FROM t_panel p JOIN (VALUES " + ", ".join(
     f"('{f}', {i})" for i, f in enumerate(CORRELATED)) + ") o(factor, o) ON o.factor = p.factor")
 
 
 def correlations(spark, sf):
-    pct = pl.eligible_percentiles(spark, sf)
+    pct = pl.panel_percentiles(spark, sf)
     wide = rk.wide_form(pct, ["as_of_date", "security_id"], "factor", "pct", {f: f for f in CORRELATED})
     return rs.factor_correlations(wide, CORRELATED)
 
@@ -121,10 +118,9 @@ def _(spark, sf):
                                pl.candidates_table(spark)))
 
 
-@query("ic_by_year", "SELECT factor, " + ", ".join(
-    f"round(avg(ic) FILTER (WHERE year(as_of_date) = {y}), 6) AS y{y}" for y in YEARS) + " FROM t_ic WHERE horizon = 1 GROUP BY 1")
+@query("ic_by_year", "SELECT factor, year(as_of_date) AS year, round(avg(ic), 6) AS ic FROM t_ic WHERE horizon = 1 GROUP BY 1, 2")
 def _(spark, sf):
-    return rounded(rs.ic_by_year(pl.panel_ic(spark, sf).where("horizon = 1"), YEARS))
+    return rounded(rs.ic_by_year(pl.panel_ic(spark, sf).where("horizon = 1")))
 
 
 @query("research_slice", f"""
@@ -205,7 +201,6 @@ def _(spark, sf):
     return rounded(ic.unionByName(rs.spread_summary(spread, "spread", 12, "q5_minus_q1_annualized")))
 
 
-@query("score_ic_by_year", "SELECT factor, " + ", ".join(
-    f"round(avg(ic) FILTER (WHERE year(as_of_date) = {y}), 6) AS y{y}" for y in YEARS) + " FROM t_score_ic GROUP BY 1")
+@query("score_ic_by_year", "SELECT factor, year(as_of_date) AS year, round(avg(ic), 6) AS ic FROM t_score_ic GROUP BY 1, 2")
 def _(spark, sf):
-    return rounded(rs.ic_by_year(score_ic(spark, sf), YEARS))
+    return rounded(rs.ic_by_year(score_ic(spark, sf)))

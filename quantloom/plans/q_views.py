@@ -193,9 +193,10 @@ def _(spark, sf):
 
 @query("score_history", """
 SELECT c.date AS as_of_date, s.security_id, round(g.composite_score, 6) AS composite_score, g.decision FROM t_calendar c CROSS JOIN t_securities s
-LEFT JOIN t_signals g ON g.as_of_date = c.date AND g.security_id = s.security_id WHERE c.pos > 58""")
+LEFT JOIN t_signals g ON g.as_of_date = c.date AND g.security_id = s.security_id WHERE c.pos > (SELECT max(pos) FROM t_calendar) - 24""")
 def _(spark, sf):
-    recent = tb.calendar(spark, sf).where("pos > 58").select(F.col("date").alias("as_of_date"))
+    days = tb.calendar(spark, sf)
+    recent = days.where(F.col("pos") > tb.last_position(days) - 24).select(F.col("date").alias("as_of_date"))
     df = vw.score_history(pl.signals(spark, sf), recent, tb.securities(spark, sf))
     return rounded(df.select("as_of_date", "security_id", "composite_score", "decision"))
 
@@ -207,18 +208,19 @@ def _(spark, sf):
     return se.decision_changes(points)
 
 
-@query("securities_list", "SELECT security_id, ticker, sector_id, security_id IN (SELECT security_id FROM t_prices WHERE pos = 82) AS has_prices FROM t_securities")
+@query("securities_list", "SELECT security_id, ticker, sector_id, security_id IN (SELECT security_id FROM t_prices WHERE close IS NOT NULL) AS has_prices FROM t_securities")
 def _(spark, sf):
-    return vw.securities_list(tb.securities(spark, sf), tb.prices(spark, sf).where("pos = 82"))
+    return vw.securities_list(tb.securities(spark, sf), tb.prices(spark, sf).where("close is not null"))
 
 
 @query("overview_benchmark", """
 WITH b AS (SELECT c.pos, b.date, product(1 + coalesce(benchmark_return, 0)) OVER (ORDER BY c.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS level FROM t_benchmark b JOIN t_calendar c USING (date))
-SELECT date, round(level / (SELECT level FROM b WHERE pos = 23) * 100, 4) AS value FROM b WHERE pos >= 23""")
+SELECT date, round(level / (SELECT level FROM b WHERE pos = (SELECT max(pos) FROM b) - 59) * 100, 4) AS value FROM b WHERE pos >= (SELECT max(pos) FROM b) - 59""")
 def _(spark, sf):
     daily = se.equal_weight_returns(se.with_returns(tb.grid(spark, sf))).join(F.broadcast(tb.calendar(spark, sf)), "date")
     level = daily.withColumn("_one", F.lit(1)).withColumn("level", se.cumulative_growth("benchmark_return", ["_one"], "pos"))
-    recent = level.where("pos >= 23").withColumn("value", se.rebase("level", ["_one"], "pos"))
+    start = tb.last_position(tb.calendar(spark, sf)) - 59
+    recent = level.where(F.col("pos") >= start).withColumn("value", se.rebase("level", ["_one"], "pos"))
     return rounded(recent.select("date", "value"), 4)
 
 
@@ -274,11 +276,11 @@ SELECT '{x}' AS feature, CASE WHEN (SELECT count({x}) FROM t_ml_panel WHERE as_o
   SELECT any_value(q) AS q, b.b, greatest(count(*) FILTER (WHERE bin = b.b AND old) / CAST(any_value(ne) AS DOUBLE), 1e-6) AS e, greatest(count(*) FILTER (WHERE bin = b.b AND NOT old) / CAST(any_value(na) AS DOUBLE), 1e-6) AS a
   FROM (SELECT q, as_of_date < DATE '1999-12-31' AS old, len(list_filter(q[2:len(q) - 1], lambda z: z <= {x})) AS bin, count(*) FILTER (WHERE as_of_date < DATE '1999-12-31') OVER () AS ne, count(*) FILTER (WHERE as_of_date >= DATE '1999-12-31') OVER () AS na
         FROM t_ml_panel CROSS JOIN (SELECT list_sort(list_distinct(quantile_cont({x}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS q FROM t_ml_panel WHERE as_of_date < DATE '1999-12-31') WHERE {x} IS NOT NULL) p
-  JOIN (SELECT unnest(range(0, 10)) AS b) b ON b.b <= len(q) - 2 GROUP BY b.b)) END AS psi""" for x in _X[:8]) + ")")
+  JOIN (SELECT unnest(range(0, 10)) AS b) b ON b.b <= len(q) - 2 GROUP BY b.b)) END AS psi""" for x in _X) + ")")
 def _(spark, sf):
     p = panel(spark, sf)
     day = F.col("as_of_date")
-    return rounded(ml.population_stability(p.where(day < "1999-12-31"), p.where(day >= "1999-12-31"), _X[:8]))
+    return rounded(ml.population_stability(p.where(day < "1999-12-31"), p.where(day >= "1999-12-31"), _X))
 
 
 def predictions(spark, sf):
@@ -309,7 +311,8 @@ def _(spark, sf):
     scored = panel(spark, sf).join(predictions(spark, sf), ["as_of_date", "security_id"])
     day = F.col("as_of_date")
     old, new = scored.where(day < "1999-12-31"), scored.where(day >= "1999-12-31")
-    return rounded(ml.drift_report(old, new, _X[:8], "ml_score", 0.02, 0.01))
+    mean_ic = lambda df: rs.spearman(df, ["as_of_date"], "ml_score", "forward_return", 10).agg(F.avg("ic")).first()[0]
+    return rounded(ml.drift_report(old, new, _X, "ml_score", mean_ic(old), mean_ic(new)))
 
 
 @query("gradient_boosted_fit")

@@ -132,6 +132,11 @@ def calendar(spark, sf) -> DataFrame:
     return staged(spark, sf, "calendar", lambda: trading_calendar(monthly(spark, sf)))
 
 
+def last_position(days: DataFrame):
+    """The newest position of a calendar as a scalar column."""
+    return days.select(F.max("pos")).scalar()
+
+
 def prices(spark, sf) -> DataFrame:
     return with_positions(bars(spark, sf), calendar(spark, sf))
 

@@ -120,3 +120,11 @@ def test_membership_from_snapshots(spark):
     long = spark.createDataFrame([(D(d), t) for d, t in rows], "date date, security_id string")
     assert intervals(iv.membership_from_snapshots(long)) == [
         ("AAA", "None", "2015-01-05"), ("BBB", "None", "2010-05-03"), ("CCC", "2010-05-03", "None"), ("DDD", "2015-01-05", "None")]
+
+
+def test_a_fact_without_a_time_is_never_visible(spark):
+    facts = spark.createDataFrame([("A", None, 9.0), ("A", date(2024, 2, 10), 1.0), ("B", None, 5.0)], "security_id string, available_at date, v double")
+    asked = spark.createDataFrame([(k, d) for k in "AB" for d in (date(2024, 1, 31), date(2024, 2, 29))], "security_id string, as_of_date date")
+    got = {(r.security_id, r.as_of_date.month): r.v for r in asof.asof_join(asked, facts, ["v"]).collect()}
+    assert got == {("A", 1): None, ("A", 2): 1.0, ("B", 1): None, ("B", 2): None}
+    assert asof.latest_as_of(facts, "2024-01-31").count() == 0

@@ -5,40 +5,55 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.config import FAMILIES, Sizing, Strategy, Thresholds, apply_overrides, expand_grid
+from quantloom.config import FAMILIES, Sizing, Strategy, Thresholds, apply_overrides, configuration_grid
 from quantloom.operators import crosssection as cs, performance as pf, portfolio as po, research as rs, risk as rk
 
 
-def brute_caps(w, sectors, max_pos, max_sec):
-    base = w / w.sum()
-    w = base.copy()
-    for _ in range(1000):
-        w = np.minimum(w, max_pos)
-        for s in set(sectors):
-            m = sectors == s
-            w[m] *= min(max_sec / w[m].sum(), 1.0)
-        missing = 1.0 - w.sum()
-        room = np.array([max_pos - x > 1e-10 and max_sec - w[sectors == s].sum() > 1e-10 for x, s in zip(w, sectors)])
-        if missing <= 1e-10 or not room.any():
-            break
-        w[room] += missing * base[room] / base[room].sum()
-    return w
-
-
-def test_caps_match_the_plain_loop(spark):
-    rows, want = [], {}
-    for seed in range(6):
-        rng = np.random.default_rng(seed)
-        n = 15 + 4 * seed
-        w, s = rng.lognormal(0, 1, n), rng.choice(list("ABCDEF"), n)
-        want.update({(seed, i): x for i, x in enumerate(brute_caps(w, s, 0.08, 0.25))})
-        rows += [(seed, i, str(s[i]), float(w[i])) for i in range(n)]
-    df = spark.createDataFrame(rows, "portfolio_id int, security_id long, sector_id string, weight double")
-    for cap in (po.cap_bounded_portfolios, po.apply_weight_caps):
-        got = cap(df, ["portfolio_id"]).collect()
-        assert len(got) == len(rows)
-        for r in got:
-            assert r.weight == pytest.approx(want[(r.portfolio_id, r.security_id)], abs=1e-8)
+CAPS = dict(max_position=0.08, max_group=0.25)
+
+
+def capped(spark, portfolios, cap=po.cap_held_names):
+    """Weights after the caps, for {portfolio: [(sector, weight), ...]}."""
+    rows = [(p, i, s, float(w)) for p, names in portfolios.items() for i, (s, w) in enumerate(names)]
+    df = spark.createDataFrame(rows, "portfolio_id string, security_id long, sector_id string, weight double")
+    got = {p: [None] * len(names) for p, names in portfolios.items()}
+    for r in cap(df, ["portfolio_id"], **CAPS).collect():
+        got[r.portfolio_id][r.security_id] = r.weight
+    return got
+
+
+def test_caps_hold_and_money_is_placed_where_it_can_be(spark):
+    books = {}
+    for seed in range(8):
+        rng = np.random.default_rng(100 + seed)
+        n = 20 + 5 * seed
+        books[f"b{seed}"] = list(zip((f"s{i % 6}" for i in range(n)), rng.pareto(1.5, n) + 0.05))
+    folded, rounds = capped(spark, books), capped(spark, books, po.apply_weight_caps)
+    for book, w in folded.items():
+        assert w == pytest.approx(rounds[book], abs=1e-8)
+        sectors = [s for s, _ in books[book]]
+        base = [x for _, x in books[book]]
+        held = {s: sum(x for x, t in zip(w, sectors) if t == s) for s in set(sectors)}
+        assert min(w) >= 0 and max(w) <= 0.08 + 1e-8 and max(held.values()) <= 0.25 + 1e-8
+        assert sum(w) == pytest.approx(1.0, abs=1e-8)
+        for i in range(len(w)):  # inside a sector a larger base weight never ends smaller
+            for j in range(len(w)):
+                if sectors[i] == sectors[j] and base[i] > base[j]:
+                    assert w[i] >= w[j] - 1e-9
+
+
+def test_caps_by_hand(spark):
+    got = capped(spark, {
+        # Three sectors of five equal names: 3 x 0.25 is all that fits, so a quarter stays cash.
+        "cash": [(s, 1.0) for s in "abc" for _ in range(5)],
+        # Twenty equal names over five sectors meet no cap.
+        "free": [(s, 1.0) for s in "abcde" for _ in range(4)],
+        # One name of a half is cut to 0.08; the rest, in 19 sectors of their own, share 0.92 equally.
+        "giant": [("g", 19.0)] + [(f"t{i}", 1.0) for i in range(19)],
+    })
+    assert got["cash"] == pytest.approx([0.05] * 15) and sum(got["cash"]) == pytest.approx(0.75)
+    assert got["free"] == pytest.approx([0.05] * 20)
+    assert got["giant"] == pytest.approx([0.08] + [0.92 / 19] * 19)
 
 
 def weights(spark, rows):
@@ -163,9 +178,22 @@ def test_gate_is_open_when_nobody_has_the_factor(spark):
     assert labelled(spark, (0.9, 0.1)) == ["STRONG_LONG", "REDUCE"]
 
 
-def test_overrides_reject_unknown_fields():
+def test_overrides_reject_unknown_fields(spark):
     changed = apply_overrides(Strategy(), {"portfolio.weighting": "equal_weight"}, "v2")
     assert changed.portfolio.weighting == "equal_weight" and changed.strategy_version == "v2"
     with pytest.raises(KeyError):
         apply_overrides(Strategy(), {"portfolio.nothing": 1})
-    assert len(expand_grid({"a": [1, 2, 3], "b": [1, 2, 3], "c": [1, 2]})) == 18
+    grid = configuration_grid(spark, {"a": [1.0, 2.0, 3.0], "b": [0.5, 0.25], "c": [1, 7]})
+    assert grid.columns == ["config_id", "a", "b", "c"] and grid.count() == 12
+    first = grid.orderBy("config_id").collect()
+    assert [r.config_id for r in first] == list(range(12)) and first[-1].asDict() == {"config_id": 11, "a": 3.0, "b": 0.25, "c": 7}
+
+
+def test_refits_come_a_number_of_calendar_months_later():
+    from datetime import date
+
+    from quantloom.operators.ml import add_months
+
+    assert add_months(date(2024, 5, 31), 3) == date(2024, 8, 31)
+    assert add_months(date(2023, 11, 30), 3) == date(2024, 2, 29)
+    assert add_months(date(2024, 1, 17), 14) == date(2025, 3, 17)
