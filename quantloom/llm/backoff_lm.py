@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import binary, mix, text_bytes, tokens_of
+from quantloom.llm.common import binary, mix, packed, text_bytes, tokens_of, unpacked
 
 ADD = 0.1
 #: Weight of the shorter context, for orders 2, 3, ...
@@ -37,17 +37,6 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % folds == 0, F.lit(False))
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """Counts as one byte each, 255 standing for the next of the larger ones behind."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
-
-
-def unpacked(held: bytes, size: int) -> np.ndarray:
-    counts = np.frombuffer(held, np.uint8, size).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(held, np.int64, offset=size)
-    return counts
-
-
 class Grams:
     """The n-grams of a block. ``ids[k]``: at each place the number of the n-gram of order k + 1 that
     ends there, -1 where history is too short; ``hashes[k]``, ``context[k]``, ``suffix[k]`` by number."""

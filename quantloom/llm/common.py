@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,24 @@ def binary(column) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what a task builds from one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as one byte each, 255 standing for the next of the larger ones behind."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def unpacked(held: bytes, size: int) -> np.ndarray:
+    counts = np.frombuffer(held, np.uint8, size).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(held, np.int64, offset=size)
+    return counts
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of 64-bit hashes (multiply and shift, wrapping)."""
     x = x ^ (x >> np.uint64(31))

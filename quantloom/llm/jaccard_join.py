@@ -12,8 +12,8 @@ What keeps the work in proportion to the input where groups of copies are large:
   that length and position allow. In a larger one the class with the fewest rarer shingles is the hub
   and is paired with all; then only pairs of classes that are not connected yet are left, and these
   are taken probe by probe until none is left. No pair between unconnected classes is skipped.
-* The order comes from a count sketch of fixed size. Any order gives the same links; a coarser one
-  only makes more candidates.
+* The order comes from a count sketch with a cell for some ``CELL_WORDS`` words, at most 2**24 cells.
+  Any order gives the same links; a coarser one only makes more candidates.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import binary, mix, staged, tokens_of
+from quantloom.llm.common import binary, mix, packed, slices, staged, text_bytes, tokens_of, unpacked
 
 WORDS, PERCENT = 5, 80
-SKETCH_BITS, SKETCH_ROWS = 20, 16
+CELL_WORDS, LEAST_BITS, MOST_BITS, SKETCH_ROWS = 32, 16, 24, 64
 FILTER_BITS, FILTER_ROWS = 24, 64
 FRAGMENTS = 4
 SMALL = 24
@@ -41,7 +41,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept while a task reads; forgotten when they get many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -68,13 +68,14 @@ class Order:
     """The global order of shingles: by sketched count, then by hash."""
 
     def __init__(self, sketch: np.ndarray):
-        self.sketch = sketch
-        mass = np.bincount(np.minimum(sketch, 1 << 20), weights=sketch.astype(np.float64))
+        self.sketch, self.bits = sketch, len(sketch).bit_length() - 1
+        cells = np.bincount(np.minimum(sketch, 1 << 20))
+        mass = cells * np.arange(len(cells), dtype=np.float64)
         self.before = np.cumsum(mass) - mass
         self.mass, self.total = mass, max(1.0, mass.sum())
 
     def counts(self, own: np.ndarray) -> np.ndarray:
-        return self.sketch[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+        return self.sketch[(own >> np.uint64(64 - self.bits)).astype(np.int64)]
 
     def sorted(self, own: np.ndarray) -> np.ndarray:
         return own[np.lexsort((own, self.counts(own)))]
@@ -82,41 +83,44 @@ class Order:
     def fragment(self, own: np.ndarray, fragments: int) -> np.ndarray:
         """Which of the equal shares of the order each shingle falls into."""
         c = np.minimum(self.counts(own), 1 << 20)
-        inside = (own << np.uint64(SKETCH_BITS)).astype(np.float64) / 2.0**64
+        inside = (own << np.uint64(self.bits)).astype(np.float64) / 2.0**64
         return np.minimum(((self.before[c] + inside * self.mass[c]) / self.total * fragments).astype(np.int64), fragments - 1)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    counts, hashes, any_ = np.zeros(1 << SKETCH_BITS, np.uint32), WordHashes(), False
-    for batch in batches:
+def _sketch(batches: Iterator[pa.RecordBatch], words: int, bits: int) -> Iterator[pa.RecordBatch]:
+    counts, hashes, any_ = np.zeros(1 << bits, np.int32), WordHashes(), False
+    for batch in slices(batches):
         own = [shingles(t, hashes, words) for t in binary(batch.column("text"))]
-        if own:
-            any_ = True
-            at = np.concatenate(own) >> np.uint64(64 - SKETCH_BITS)
-            counts += np.bincount(at.astype(np.int64), minlength=len(counts)).astype(np.uint32)
+        cell, n = np.unique(np.concatenate(own) >> np.uint64(64 - bits), return_counts=True)
+        counts[cell.astype(np.int64)] += n.astype(np.int32)
+        any_ = True
     if any_:
-        parts = counts.reshape(SKETCH_ROWS, -1)
-        yield pa.RecordBatch.from_pydict({"part": list(range(SKETCH_ROWS)), "counts": [p.tobytes() for p in parts]})
+        for part, own in enumerate(counts.reshape(SKETCH_ROWS, -1)):
+            if own.any():
+                yield pa.RecordBatch.from_pydict({"part": [part], "counts": [packed(own)]})
 
 
-def _added(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(c, np.uint32).astype(np.uint64) for c in group.column("counts").to_pylist())
-    held = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
-    return pa.table({"part": [group.column("part")[0].as_py()], "counts": [held.tobytes()]})
+def _added(group: pa.Table, size: int) -> pa.Table:
+    total = sum(unpacked(c.as_py(), size) for c in group.column("counts"))
+    return pa.table({"part": [group.column("part")[0].as_py()], "counts": [packed(total)]})
 
 
 def global_order(docs: DataFrame, words: int = WORDS) -> Order:
-    """Counts in ``2**SKETCH_BITS`` cells: 4 MB whatever the corpus, summed part by part."""
-    found = docs.select("text").mapInArrow(partial(_sketch, words=words), "part long, counts binary")
-    rows = found.groupBy("part").applyInArrow(lambda group: _added(group), "part long, counts binary").collect()
-    held = {r.part: np.frombuffer(r.counts, np.uint32) for r in rows}
-    empty = np.zeros((1 << SKETCH_BITS) // SKETCH_ROWS, np.uint32)
-    return Order(np.concatenate([held.get(p, empty) for p in range(SKETCH_ROWS)]).astype(np.int64))
+    """Counts summed part by part; at most 2**24 cells, which is the bound of what is sent out."""
+    length = docs.agg(F.sum(text_bytes())).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (length // (6 * CELL_WORDS)).bit_length()))
+    size = (1 << bits) // SKETCH_ROWS
+    found = docs.select("text").mapInArrow(partial(_sketch, words=words, bits=bits), "part long, counts binary")
+    rows = found.groupBy("part").applyInArrow(lambda group: _added(group, size), "part long, counts binary").collect()
+    sketch = np.zeros((SKETCH_ROWS, size), np.int32)
+    for r in rows:
+        sketch[r.part] = np.minimum(unpacked(r.counts, size), np.iinfo(np.int32).max)
+    return Order(sketch.ravel())
 
 
 def _signatures(batches, words: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in slices(batches):
         own = [shingles(t, hashes, words) for t in binary(batch.column("text"))]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in own], pa.int64())],
@@ -126,7 +130,7 @@ def _signatures(batches, words: int) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(batches, order, words: int, percent: int) -> Iterator[pa.RecordBatch]:
     hashes, seen = WordHashes(), set()
-    for batch in batches:
+    for batch in slices(batches):
         shingle, class_, size, place = [], [], [], []
         for text in binary(batch.column("text")):
             own = shingles(text, hashes, words)
@@ -148,7 +152,7 @@ def _prefixes(batches, order, words: int, percent: int) -> Iterator[pa.RecordBat
 def _fragments(batches, order, wanted, words: int, fragments: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little")
-    for batch in batches:
+    for batch in slices(batches):
         class_, fragment, sets = [], [], []
         keep = bits[filter_bit(batch.column("doc_id").fill_null(0).to_numpy())] if len(bits) else []
         for text, wanted_ in zip(binary(batch.column("text")), keep, strict=True):
@@ -220,7 +224,7 @@ class Join:
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.words, self.percent, self.fragments, self.small = words, percent, fragments, small
         order = global_order(docs, words)
-        self.order = docs.sparkSession.sparkContext.broadcast(order)  # 8 MB whatever the corpus
+        self.order = docs.sparkSession.sparkContext.broadcast(order)  # at most 64 MB
         self.signed = staged(self.texts.mapInArrow(partial(_signatures, words=words), "doc_id long, n long, class long"), "jaccard-classes")
         self.reps = staged(self.signed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "jaccard-reps")
         rows = self.texts.where("doc_id IS NOT NULL").mapInArrow(
