@@ -117,11 +117,17 @@ def sized_orders(
     )
 
 
-def pre_trade_checks(sized: DataFrame, keys: Sequence[str], max_orders: int = 80) -> DataFrame:
+def pre_trade_checks(
+    sized: DataFrame, keys: Sequence[str], max_orders: int = 80, proposals: DataFrame | None = None
+) -> DataFrame:
+    """Orders and failed checks of each proposal. A proposal all of whose orders were too small has
+    no row in ``sized``; listed in ``proposals`` (keys) it passes with no orders."""
     counts = sized.groupBy(*keys).agg(
         F.count_if(F.col("qty").isNotNull()).alias("n_orders"),
         F.count("failed_check").alias("failed_checks"),
     )
+    if proposals is not None:
+        counts = proposals.select(*keys).distinct().join(counts, list(keys), "left").na.fill(0, ["n_orders", "failed_checks"])
     too_many = F.col("n_orders") > max_orders
     return counts.withColumn("pre_trade_ok", (F.col("failed_checks") == 0) & ~too_many)
 

@@ -78,11 +78,11 @@ def sized(spark, sf):
 
 
 @query("pre_trade_checks", f"""
-SELECT portfolio_id, as_of_date, count(qty) AS n_orders, count(*) FILTER (WHERE est IS NULL OR (est > 0.1 * {EQUITY} + 1e-6 AND NOT (side = 'SELL' AND tgt <= 0))) AS failed_checks,
-  count(*) FILTER (WHERE est IS NULL OR (est > 0.1 * {EQUITY} + 1e-6 AND NOT (side = 'SELL' AND tgt <= 0))) = 0 AND count(qty) <= 15 AS pre_trade_ok
-FROM t_sized WHERE est IS NULL OR est >= 25 GROUP BY 1, 2""")
+SELECT portfolio_id, as_of_date, count(qty) AS n_orders, count(*) FILTER (WHERE bad) AS failed_checks, count(*) FILTER (WHERE bad) = 0 AND count(qty) <= 15 AS pre_trade_ok
+FROM (SELECT DISTINCT portfolio_id, as_of_date FROM t_orders) LEFT JOIN (
+  SELECT *, est IS NULL OR (est > 0.1 * {EQUITY} + 1e-6 AND NOT (side = 'SELL' AND tgt <= 0)) AS bad FROM t_sized WHERE est IS NULL OR est >= 25) USING (portfolio_id, as_of_date) GROUP BY 1, 2""")
 def _(spark, sf):
-    return bk.pre_trade_checks(sized(spark, sf), KEYS, max_orders=15)
+    return bk.pre_trade_checks(sized(spark, sf), KEYS, max_orders=15, proposals=orders(spark, sf))
 
 
 @query("sized_orders")

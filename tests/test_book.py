@@ -24,6 +24,9 @@ def test_order_sizing_rules(spark):
     got = {r.security_id: (r.qty, r.failed_check) for r in sized.collect()}
     assert got == {"BUYS": (497.5, None), "EXIT": (7000.0, None), "HUGE": (1990.0, "MAX_ORDER_SIZE"), "NOPX": (None, "PRICE_AVAILABLE")}
     assert not bk.pre_trade_checks(sized, ["portfolio_id"]).first().pre_trade_ok
+    asked = spark.createDataFrame([("none",), (sized.first().portfolio_id,)], "portfolio_id string")
+    checked = {r.portfolio_id: r for r in bk.pre_trade_checks(sized, ["portfolio_id"], proposals=asked).collect()}
+    assert len(checked) == 2 and checked["none"].pre_trade_ok and checked["none"].n_orders == 0
 
 
 def test_population_stability(spark):
