@@ -372,7 +372,7 @@ def _(spark, sf):
 
 
 # ---------------------------------------------------------------- attribution and performance
-block("t_periods", "SELECT c.date AS as_of_date, c.pos + 1 AS entry_pos, least(c.pos + 4, (SELECT max(pos) + 1 FROM t_calendar)) AS exit_pos FROM t_calendar c WHERE c.pos % 3 = 0 AND c.pos > 11 AND c.pos < (SELECT max(pos) FROM t_calendar)")
+block("t_periods", "SELECT c.date AS as_of_date, c.pos + 1 AS entry_pos, least(c.pos + 4, (SELECT max(pos) + 1 FROM t_calendar)) AS exit_pos FROM t_calendar c WHERE c.pos % 3 = 0 AND c.pos < (SELECT max(pos) FROM t_calendar)")
 block("t_marks", "SELECT security_id, pos, open, last_value(close IGNORE NULLS) OVER (PARTITION BY security_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mark FROM t_grid")
 block("t_values", """
 SELECT w.portfolio_id, p.as_of_date, p.entry_pos, p.exit_pos, d.pos, w.security_id, w.weight, w.weight * coalesce(d.mark / e.open, 1) AS v
@@ -397,7 +397,7 @@ block("t_attr_bench", "SELECT a.*, b.benchmark_return FROM t_attributed a JOIN t
 def periods(spark, sf):
     """Quarterly decisions after the first year: filled at the next bar, held to the next fill."""
     last = tb.calendar(spark, sf).select(F.max("pos")).scalar()
-    days = tb.calendar(spark, sf).where((F.col("pos") % 3 == 0) & (F.col("pos") > 11) & (F.col("pos") < last))
+    days = tb.calendar(spark, sf).where((F.col("pos") % 3 == 0) & (F.col("pos") < last))
     return days.select(F.col("date").alias("as_of_date"), (F.col("pos") + 1).alias("entry_pos"),
                        F.least(F.col("pos") + 4, last + 1).alias("exit_pos"))
 

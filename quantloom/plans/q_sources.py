@@ -361,29 +361,40 @@ def _(spark, sf):
 
 
 @query("recycled_tickers", """
-SELECT * FROM (SELECT p.security_id, min(p.date) AS first_price, (SELECT max(m.end_date) FROM t_members m WHERE m.security_id = p.security_id AND m.end_date < DATE '1999-01-01') AS last_end
-  FROM t_prices p WHERE p.date >= DATE '1998-06-30' GROUP BY 1) WHERE first_price >= last_end""")
+SELECT * FROM (SELECT p.security_id, min(p.date) AS first_price, (SELECT max(m.end_date) FROM t_members m WHERE m.security_id = p.security_id) AS last_end
+  FROM t_prices p JOIN t_securities s USING (security_id)
+  WHERE s.sector_id <> 'ASIA' OR p.date >= coalesce((SELECT max(m.end_date) FROM t_members m WHERE m.security_id = p.security_id), p.date) GROUP BY 1)
+WHERE first_price >= last_end AND security_id NOT IN (SELECT security_id FROM t_members WHERE end_date IS NULL)""")
 def _(spark, sf):
-    late = tb.prices(spark, sf).where("date >= DATE '1998-06-30'")
-    closed = pl.membership(spark, sf).where("end < DATE '1999-01-01'")
-    return iv.recycled_tickers(late, closed)
+    """The vendor's series of one sector's names begin where their memberships end, as those of a
+    later company under the same ticker would."""
+    members = pl.membership(spark, sf)
+    ends = members.groupBy("security_id").agg(F.max("end").alias("_end"))
+    sector = tb.securities(spark, sf).select("security_id", "sector_id")
+    prices = tb.prices(spark, sf).join(sector, "security_id").join(ends, "security_id", "left")
+    later = (F.col("sector_id") != "ASIA") | (F.col("date") >= F.coalesce("_end", "date"))
+    return iv.recycled_tickers(prices.where(later).drop("sector_id", "_end"), members)
+
+
+def newest(spark, sf):
+    """Prices of the last date of the calendar."""
+    return tb.prices(spark, sf).where(F.col("pos") == tb.last_position(tb.calendar(spark, sf)))
 
 
 @query("missing_members", """
 SELECT count(*) AS members, count(*) FILTER (WHERE n = 0) AS missing, count(*) FILTER (WHERE n = 0) <= 0.05 * count(*) AS acceptable
-FROM (SELECT s.security_id, (SELECT count(*) FROM t_prices p WHERE p.security_id = s.security_id AND p.pos = 82) AS n FROM t_securities s)""")
+FROM (SELECT s.security_id, (SELECT count(*) FROM t_prices p WHERE p.security_id = s.security_id AND p.pos = (SELECT max(pos) FROM t_calendar)) AS n FROM t_securities s)""")
 def _(spark, sf):
-    return iv.missing_members(tb.securities(spark, sf), tb.prices(spark, sf).where("pos = 82"))
+    return iv.missing_members(tb.securities(spark, sf), newest(spark, sf))
 
 
 @query("coverage_by_year", """
 WITH y AS (SELECT DISTINCT year(date) AS year, make_date(year(date), 12, 31) AS d FROM t_calendar),
 m AS (SELECT DISTINCT y.year, m.security_id FROM y JOIN t_members m ON (m.start_date IS NULL OR m.start_date <= y.d) AND (m.end_date IS NULL OR m.end_date > y.d))
 SELECT year, count(*) AS members, round(avg(CASE WHEN p THEN 1.0::DOUBLE ELSE 0 END), 6) AS with_prices, round(avg(CASE WHEN p AND f THEN 1.0::DOUBLE ELSE 0 END), 6) AS with_prices_and_fundamentals
-FROM (SELECT year, security_id, security_id IN (SELECT security_id FROM t_prices WHERE volume > 450) AS p, security_id IN (SELECT security_id FROM t_fundamentals WHERE net_debt < 0) AS f FROM m) GROUP BY 1""")
+FROM (SELECT year, security_id, security_id IN (SELECT security_id FROM t_prices) AS p, security_id IN (SELECT security_id FROM t_fundamentals) AS f FROM m) GROUP BY 1""")
 def _(spark, sf):
-    df = iv.coverage_by_year(tb.calendar(spark, sf), pl.membership(spark, sf), tb.prices(spark, sf).where("volume > 450"),
-                             tb.fundamentals(spark, sf).where("net_debt < 0"))
+    df = iv.coverage_by_year(tb.calendar(spark, sf), pl.membership(spark, sf), tb.prices(spark, sf), tb.fundamentals(spark, sf))
     return rounded(df)
 
 
