@@ -18,6 +18,7 @@ What keeps the work in proportion to the input where groups of copies are large:
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -97,18 +98,18 @@ def _sketch(batches: Iterator[pa.RecordBatch], words: int, bits: int) -> Iterato
     if any_:
         for part, own in enumerate(counts.reshape(SKETCH_ROWS, -1)):
             if own.any():
-                yield pa.RecordBatch.from_pydict({"part": [part], "counts": [packed(own)]})
+                yield pa.RecordBatch.from_pydict({"part": [part], "counts": [zlib.compress(packed(own), 1)]})
 
 
 def _added(group: pa.Table, size: int) -> pa.Table:
-    total = sum(unpacked(c.as_py(), size) for c in group.column("counts"))
+    total = sum(unpacked(zlib.decompress(c.as_py()), size) for c in group.column("counts"))
     return pa.table({"part": [group.column("part")[0].as_py()], "counts": [packed(total)]})
 
 
 def global_order(docs: DataFrame, words: int = WORDS) -> Order:
     """Counts summed part by part; at most 2**24 cells, which is the bound of what is sent out."""
     length = docs.agg(F.sum(text_bytes())).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, (length // (6 * CELL_WORDS)).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (length // (6 * CELL_WORDS)).bit_length() - 1))
     size = (1 << bits) // SKETCH_ROWS
     found = docs.select("text").mapInArrow(partial(_sketch, words=words, bits=bits), "part long, counts binary")
     rows = found.groupBy("part").applyInArrow(lambda group: _added(group, size), "part long, counts binary").collect()
