@@ -6,8 +6,8 @@ occurs. A branch whose presentation and content are the same on most pages has a
 importance and is removed from each page; so is what the page itself declares to be no content
 (menus, footers, adverts, forms ...). Inside a declared article the declaration decides.
 
-The tree is kept as rows (host, path, feature, count), so a host of any size is only summed; each
-page is parsed in the task that reads it.
+The tree is kept as rows (host, path, feature, count), so a host of any size is only summed; copies
+of a page count once. Each page is parsed in the task that reads it.
 """
 
 from __future__ import annotations
@@ -57,10 +57,12 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'
 
 
 class Node:
-    __slots__ = ("dropped", "kids", "main", "path", "tag")
+    """``holds``: a declared article or main element stands at or below the node and is not dropped."""
+
+    __slots__ = ("dropped", "holds", "kids", "main", "path", "tag")
 
     def __init__(self, tag: str, path: str, dropped: bool, main: bool):
-        self.tag, self.path, self.dropped, self.main, self.kids = tag, path, dropped, main, []
+        self.tag, self.path, self.dropped, self.main, self.holds, self.kids = tag, path, dropped, main, False, []
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -122,11 +124,14 @@ def parsed(page: str) -> Node:
                 stack.append(node)
         elif not m[0].startswith("<") or len(m[0]) == 1:
             stack[-1].kids.append(m[0])
+    for node in reversed(list(walk(root))):  # what stands below comes first
+        node.holds = not node.dropped and (node.tag in ("article", "main") or any(k.holds for k in node.kids if isinstance(k, Node)))
     return root
 
 
 def blocks(root: Node, removed: set[str]) -> list[tuple[str, str]]:
-    """(path, text) of the page's blocks in page order, without dropped and removed branches."""
+    """(path, text) of the page's blocks in page order, without dropped and removed branches. What
+    holds a declared article is not removed."""
     out: list[tuple[str, str]] = []
     held: list[str] = []
     declared = False
@@ -146,7 +151,7 @@ def blocks(root: Node, removed: set[str]) -> list[tuple[str, str]]:
             path = mode
         elif mode == "end":
             flush()
-        elif not node.dropped and (node.main or node.path not in removed):
+        elif not node.dropped and (node.main or node.holds or node.path not in removed):
             declared |= node.main
             if node.tag in BLOCK:
                 flush()
@@ -168,10 +173,10 @@ def walk(root: Node) -> Iterator[Node]:
 
 
 def features(root: Node) -> Iterator[tuple[str, str, int]]:
-    """(path, kind, feature) of a page, each once: "s" a style of children, "c" a text, "p" the parent."""
+    """(path, kind, feature) of a page, each once: "s" a style of children, "c" a text."""
     seen = set()
     for node in walk(root):
-        if not node.path or node.dropped or node.main:
+        if not node.path or node.dropped:
             continue
         style = "|".join(k.path if isinstance(k, Node) else "#" for k in node.kids if not isinstance(k, str) or k.strip())
         seen.add((node.path, "s", xxhash.xxh64_intdigest(style) >> 1))
@@ -181,6 +186,14 @@ def features(root: Node) -> Iterator[tuple[str, str, int]]:
     yield from seen
 
 
+def distinct_features(page: str) -> Iterator[tuple[int, list[str], list[int]]]:
+    """(print, keys, features) of a page; a key is the kind and the path. Equal prints have equal rows."""
+    found = sorted((kind + path, feature) for path, kind, feature in features(parsed(page)))
+    if found:
+        keys, values = map(list, zip(*found, strict=True))
+        yield xxhash.xxh64_intdigest(repr(found)) >> 1, keys, values
+
+
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
 
@@ -188,25 +201,31 @@ def host_of(url):
 def style_tree(pages: DataFrame) -> DataFrame:
     """The merged tree of each host: host, path, pages, presentation, content (importances, 0 to 1).
 
+    Pages of a host with the same features count once, so copies of a page are not taken for a frame.
     Presentation: entropy of the styles to the base of the pages that have the node. Content: one
     less the mean entropy of its texts over those pages. Both are 1 for a node of a single page.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            found: dict[tuple, int] = {}
+            out = []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                for key in features(parsed(page or "")):
-                    found[(host, *key)] = found.get((host, *key), 0) + 1
-            columns = list(zip(*found, strict=True)) if found else [[]] * 4
+                for print_, keys, values in distinct_features(page or ""):
+                    if (host, print_) not in seen:
+                        seen.add((host, print_))
+                        out.append((host, print_, keys, values))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()),
-                 pa.array(columns[3], pa.int64()), pa.array(list(found.values()), pa.int64())],
-                names=["host", "path", "kind", "feature", "n"],
-            )
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "print", "keys", "features"]
+            )
 
-    found = pages.mapInArrow(rows, "host string, path string, kind string, feature long, n long")
-    counted = found.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    found = pages.mapInArrow(rows, "host string, print long, keys array<string>, features array<long>")
+    once = found.groupBy("host", "print").agg(F.first("keys").alias("keys"), F.first("features").alias("features"))
+    each = once.select("host", F.explode(F.arrays_zip("keys", "features")).alias("_f"))
+    counted = each.groupBy("host", F.col("_f.keys").alias("_key"), F.col("_f.features").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.select("host", F.substring("_key", 2, 1 << 30).alias("path"), F.substring("_key", 1, 1).alias("kind"), "n")
     # Summed by kind first: a path's pages are the sum of its styles, one style a page and node.
     x = F.col("n") * F.log("n")
     sums = counted.groupBy("host", "path").agg(

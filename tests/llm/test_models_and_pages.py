@@ -161,3 +161,21 @@ def test_pipeline_stages_take_effect(spark, judged, tmp_path):
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert again.columns == sharding.sharded(docs).columns
     assert sorted(map(str, again.collect())) == sorted(map(str, rows.collect()))
+
+
+def texts_of(spark, bodies):
+    rows = [(i, "https://one.example/p", f"<html><body>{body}</body></html>") for i, body in enumerate(bodies)]
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return {r.page_id: r.text for r in got}
+
+
+def test_a_repeated_frame_keeps_the_article_in_it(spark):
+    bodies = [f"<div class='page'><p>same slogan</p><article><p>story {i}</p></article></div>" for i in range(6)]
+    assert texts_of(spark, bodies) == {i: f"story {i}" for i in range(6)}
+    # On a page without the article the frame is what it is; its neighbours keep theirs.
+    copies = ["<div class='page'><p>same slogan</p><article><p>one story</p></article></div><p>{}</p>".format(i) for i in range(6)]
+    assert set(texts_of(spark, copies).values()) == {"one story"}
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    assert texts_of(spark, ["<div class='story'><p>one text</p><p>more</p></div>"] * 6) == {i: "one text\n\nmore" for i in range(6)}
