@@ -45,6 +45,8 @@ MARKS = set(
     "newsletter subscribe signup share sharing social related recommended widget comment comments disqus replies respond "
     "pagination pager toc toolbar login".split()
 )
+# A class that ends so tells a state of the page and not what the element is.
+STATES = set("open closed enabled disabled on off".split())
 CLOSES_P = BLOCK - {"html", "body"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -57,34 +59,72 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'
 
 
 class Node:
-    """``holds``: a declared article or main element stands at or below the node and is not dropped."""
+    """``dropped``: by the tag or role, ``marked``: by a mark or as a form, which holds only where no
+    declared content stands below; after parsing ``dropped`` has what is left of both and of the parents.
+    ``holds``: a declared article or main element stands at or below the node and is not dropped."""
 
-    __slots__ = ("dropped", "holds", "kids", "main", "path", "tag")
+    __slots__ = ("dropped", "holds", "kids", "main", "marked", "path", "tag")
 
-    def __init__(self, tag: str, path: str, dropped: bool, main: bool):
-        self.tag, self.path, self.dropped, self.main, self.holds, self.kids = tag, path, dropped, main, False, []
+    def __init__(self, tag: str, path: str, dropped: bool, marked: bool, main: bool):
+        self.tag, self.path, self.dropped, self.marked, self.main, self.holds, self.kids = tag, path, dropped, marked, main, False, []
 
 
 def attributes(source: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(source)}
 
 
+def marks_of(names: list[str]) -> set[str]:
+    """What classes and ids mark: the whole name or its first word, if the name tells no state."""
+    out = set()
+    for name in map(str.lower, names):
+        words = re.split(r"[-_]+", name)
+        out.add(name)
+        if words[-1] not in STATES:
+            out.add(words[0])
+    return out & MARKS
+
+
 def opened(tag: str, source: str, parent: Node) -> Node:
-    name, dropped = tag, tag in DROPPED
+    name, dropped, marked = tag, tag in DROPPED and tag != "form", tag == "form"
     if source.strip(" /"):
         have = attributes(source)
         classes = have.get("class", "").split()
         if classes:
             name = f"{tag}.{classes[0]}"
-        marks = {m for v in (*classes, *have.get("id", "").split()) for m in (v.lower(), *re.split(r"[-_]", v.lower()))}
-        content = tag in ("html", "body", "main") or (tag == "article" and not marks & {"comment", "comments"})
-        dropped |= bool(marks & MARKS) and not content or have.get("role", "").lower() in ROLES or "hidden" in have
-    return Node(tag, f"{parent.path}>{name}", parent.dropped or dropped, parent.main or tag in ("article", "main"))
+        marks, role = marks_of([*classes, *have.get("id", "").split()]), have.get("role", "").lower()
+        if tag == "article":
+            dropped |= bool(marks & {"comment", "comments"})
+        elif tag not in ("html", "body", "main"):
+            marked |= bool(marks)
+        marked |= role == "form"
+        dropped |= role in ROLES - {"form"} or "hidden" in have
+    return Node(tag, f"{parent.path}>{name}", dropped, marked, parent.main or tag in ("article", "main"))
+
+
+def settle(root: Node) -> None:
+    """Sets ``holds`` and ``dropped``. A marked node or form stays if declared content stands below it
+    that is not itself in an article (there it is a comment, by the rules of HTML), or if it is a form
+    with all text of the body."""
+    nodes = list(walk(root))
+    for node in reversed(nodes):  # what stands below comes first
+        node.holds = not node.dropped and (node.tag in ("article", "main") or any(k.holds for k in node.kids if isinstance(k, Node)))
+    todo = [(root, False, False)]
+    while todo:
+        node, dropped, article = todo.pop()
+        node.dropped |= dropped or node.marked and (article or not node.holds)
+        if node.tag == "body":
+            rest = [k for k in node.kids if (k.strip() if isinstance(k, str) else k.tag == "form" or not k.dropped and not k.marked and any(isinstance(t, str) and t.strip() for x in walk(k) for t in x.kids))]
+            if len(rest) == 1 and isinstance(rest[0], Node) and rest[0].tag == "form" and any(re.fullmatch("p|h[1-6]", x.tag) for x in walk(rest[0])):
+                rest[0].marked = False
+        article |= node.tag == "article"
+        todo.extend((k, node.dropped, article) for k in node.kids if isinstance(k, Node))
+    for node in reversed(nodes):
+        node.holds = not node.dropped and (node.tag in ("article", "main") or any(k.holds for k in node.kids if isinstance(k, Node)))
 
 
 def parsed(page: str) -> Node:
     """The tree of a page; text stands as strings among the kids. Wrong nesting closes what is open."""
-    root = Node("", "", False, False)
+    root = Node("", "", False, False, False)
     stack, at, n = [root], 0, len(page)
     while at < n:
         m = TOKEN.match(page, at)
@@ -124,8 +164,7 @@ def parsed(page: str) -> Node:
                 stack.append(node)
         elif not m[0].startswith("<") or len(m[0]) == 1:
             stack[-1].kids.append(m[0])
-    for node in reversed(list(walk(root))):  # what stands below comes first
-        node.holds = not node.dropped and (node.tag in ("article", "main") or any(k.holds for k in node.kids if isinstance(k, Node)))
+    settle(root)
     return root
 
 

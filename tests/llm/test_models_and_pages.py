@@ -179,3 +179,27 @@ def test_a_repeated_frame_keeps_the_article_in_it(spark):
 
 def test_copies_of_a_page_keep_their_text(spark):
     assert texts_of(spark, ["<div class='story'><p>one text</p><p>more</p></div>"] * 6) == {i: "one text\n\nmore" for i in range(6)}
+
+
+WRAPPERS = ["class='content-sidebar-wrap'", "class='has-sidebar'", "class='no-sidebar'", "class='with-header'", "class='social-wrapper'", "class='comments-open'", "id='sidebar'"]
+
+
+def one_text(body):
+    return "\n\n".join(t for _, t in html_extract.blocks(html_extract.parsed(f"<html><body>{body}</body></html>"), set()))
+
+
+@pytest.mark.parametrize("mark", WRAPPERS)
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_marks_around_an_article_do_not_drop_it(mark, tag):
+    assert one_text(f"<div {mark}><p>beside</p><{tag}><p>story</p><div class='ad-slot'>buy</div></{tag}></div>") == "story"
+
+
+def test_forms_and_marks_drop_only_what_they_name():
+    assert one_text("<form action='/'><div><article><p>story</p><form>send</form></article></div></form>") == "story"
+    assert one_text("<nav>menu</nav><form id='page'><h1>head</h1><p>story</p></form><div class='ad'>buy</div><footer>end</footer>") == "head\n\nstory"
+    assert one_text("<p>story</p><form><p>send</p></form>") == "story"
+    for mark in WRAPPERS[:4] + WRAPPERS[5:6]:
+        assert one_text(f"<div {mark}><p>story</p></div>") == "story"
+    for mark in ("sidebar", "ad-slot", "share_buttons", "cookie-notice", "Related-posts"):
+        assert one_text(f"<p>story</p><div class='{mark}'>no</div>") == "story"
+    assert one_text("<article><p>story</p><section id='comments'><article><p>reader</p></article></section></article>") == "story"
