@@ -4,7 +4,8 @@ The pages of a host are merged into one tree. Its element nodes carry how many p
 in how many presentation styles (sequences of children); its content nodes carry how often each text
 occurs. A branch whose presentation and content are the same on most pages has a low entropy-based
 importance and is removed from each page; so is what the page itself declares to be no content
-(menus, footers, adverts, forms ...). Inside a declared article the declaration decides.
+(menus, footers, adverts, forms ...). Where a page declares an article, only text inside it is kept,
+without the low branches in it.
 
 The tree is kept as rows (host, path, feature, count), so a host of any size is only summed; copies
 of a page count once. Each page is parsed in the task that reads it.
@@ -170,7 +171,7 @@ def parsed(page: str) -> Node:
 
 def blocks(root: Node, removed: set[str]) -> list[tuple[str, str]]:
     """(path, text) of the page's blocks in page order, without dropped and removed branches. What
-    holds a declared article is not removed."""
+    holds a declared article is not removed, nor a word in bold or a link within its text."""
     out: list[tuple[str, str]] = []
     held: list[str] = []
     declared = False
@@ -190,7 +191,7 @@ def blocks(root: Node, removed: set[str]) -> list[tuple[str, str]]:
             path = mode
         elif mode == "end":
             flush()
-        elif not node.dropped and (node.main or node.holds or node.path not in removed):
+        elif not node.dropped and (node.holds or node.path not in removed or node.main and node.tag not in BLOCK):
             declared |= node.main
             if node.tag in BLOCK:
                 flush()
@@ -211,26 +212,28 @@ def walk(root: Node) -> Iterator[Node]:
         todo.extend(k for k in node.kids if isinstance(k, Node))
 
 
-def features(root: Node) -> Iterator[tuple[str, str, int]]:
-    """(path, kind, feature) of a page, each once: "s" a style of children, "c" a text."""
+def features(root: Node) -> Iterator[tuple[str, int, bool]]:
+    """(kind and path, feature, whether in declared content) of a page, each once: kind "s" a style of
+    children, "c" a text."""
     seen = set()
     for node in walk(root):
         if not node.path or node.dropped:
             continue
         style = "|".join(k.path if isinstance(k, Node) else "#" for k in node.kids if not isinstance(k, str) or k.strip())
-        seen.add((node.path, "s", xxhash.xxh64_intdigest(style) >> 1))
+        seen.add((f"s{node.path}", xxhash.xxh64_intdigest(style) >> 1, node.main))
         for k in node.kids:
             if isinstance(k, str) and k.strip():
-                seen.add((node.path, "c", xxhash.xxh64_intdigest(" ".join(k.split())) >> 1))
+                seen.add((f"c{node.path}", xxhash.xxh64_intdigest(" ".join(k.split())) >> 1, node.main))
     yield from seen
 
 
 def distinct_features(page: str) -> Iterator[tuple[int, list[str], list[int]]]:
-    """(print, keys, features) of a page; a key is the kind and the path. Equal prints have equal rows."""
-    found = sorted((kind + path, feature) for path, kind, feature in features(parsed(page)))
-    if found:
-        keys, values = map(list, zip(*found, strict=True))
-        yield xxhash.xxh64_intdigest(repr(found)) >> 1, keys, values
+    """(print, keys, features) of what a page declares and of the rest. Equal prints have equal rows;
+    the rest's print is that of the whole page."""
+    found = sorted(features(parsed(page)))
+    for part, named in (([x for x in found if x[2]], None), ([x for x in found if not x[2]], found)):
+        if part:
+            yield xxhash.xxh64_intdigest(repr(named or part)) >> 1, [x[0] for x in part], [x[1] for x in part]
 
 
 def host_of(url):
@@ -240,7 +243,8 @@ def host_of(url):
 def style_tree(pages: DataFrame) -> DataFrame:
     """The merged tree of each host: host, path, pages, presentation, content (importances, 0 to 1).
 
-    Pages of a host with the same features count once, so copies of a page are not taken for a frame.
+    Pages of a host with the same features count once, and so do declared articles with the same
+    features on different pages: copies are not taken for a frame.
     Presentation: entropy of the styles to the base of the pages that have the node. Content: one
     less the mean entropy of its texts over those pages. Both are 1 for a node of a single page.
     """

@@ -203,3 +203,11 @@ def test_forms_and_marks_drop_only_what_they_name():
     for mark in ("sidebar", "ad-slot", "share_buttons", "cookie-notice", "Related-posts"):
         assert one_text(f"<p>story</p><div class='{mark}'>no</div>") == "story"
     assert one_text("<article><p>story</p><section id='comments'><article><p>reader</p></article></section></article>") == "story"
+
+
+def test_notices_that_a_host_repeats_in_its_articles_are_low(spark):
+    article = "<article><h1>Title {}</h1><div class='box'><p>read our other pages</p></div><p>story {}</p></article>"
+    assert texts_of(spark, [article.format(i, i) for i in range(6)]) == {i: f"Title {i}\n\nstory {i}" for i in range(6)}
+    # An article on many pages is one article: nothing in it is low, whatever stands around it.
+    copied = [f"<p>page {i}</p>{article.format(0, 0)}" for i in range(6)]
+    assert set(texts_of(spark, copied).values()) == {"Title 0\n\nread our other pages\n\nstory 0"}
