@@ -89,12 +89,14 @@ def sized_orders(
     """Traded orders with quantity and the check each fails, if any.
 
     Buys keep a cash buffer, sells never exceed the holding, exits sell all of it, orders that
-    are too small are dropped, and only an exit may pass the size limit.
+    are too small are dropped, and only an exit may pass the size limit. ``prices`` are joined by
+    security, and by ``as_of_date`` where they have it.
     """
     keys = list(keys)
+    by = [c for c in ("security_id", "as_of_date") if c in prices.columns]
     rows = (
         orders.where("side <> 'HOLD'")
-        .join(prices.select("security_id", "price"), "security_id", "left")
+        .join(prices.select(*by, "price"), by, "left")
         .join(held.select(*keys, "security_id", F.col("qty").alias("_held")), [*keys, "security_id"], "left")
     )
     priced = F.col("price") > 0

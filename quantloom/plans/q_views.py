@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quantloom.config import FAMILIES
 from quantloom.functions import ranking as rk
 from quantloom.operators import book as bk, ml, performance as pf, research as rs, series as se, views as vw
+from quantloom.operators.asof import asof_join
 from quantloom.plans import pipeline as pl, testbed as tb
 from quantloom.plans.oracle import block, percentile_of, percentile_sql
 from quantloom.plans.q_market import rs as rnd
@@ -72,9 +73,12 @@ SELECT portfolio_id, as_of_date, security_id, side, qty, qty * price AS est, tgt
 
 
 def sized(spark, sf):
-    prices = bk.last_prices(tb.bars(spark, sf).where("date >= DATE '2001-10-31'"))
+    """Each order at the last price known on its own date."""
+    wanted = orders(spark, sf)
+    known = tb.bars(spark, sf).where("price_close is not null").select("security_id", "date", F.col("price_close").alias("price"))
+    prices = asof_join(wanted.select("security_id", "as_of_date").distinct(), known, ["price"], time="date")
     held = current_weights(spark, sf).withColumn("qty", F.round(F.col("weight") * 3000, 4))
-    return bk.sized_orders(orders(spark, sf), prices, held, KEYS, EQUITY)
+    return bk.sized_orders(wanted, prices, held, KEYS, EQUITY)
 
 
 @query("pre_trade_checks", f"""

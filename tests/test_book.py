@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from quantloom.operators import book as bk, ml
+from quantloom.plans import q_views
 
 
 def test_reconcile(spark):
@@ -63,3 +64,21 @@ def test_positions_on_a_stream(spark, tmp_path):
 def test_blend_must_be_a_share(spark, bad):
     with pytest.raises(ValueError):
         ml.blend_scores(None, None, None, bad)
+
+
+def test_orders_are_sized_at_the_price_of_their_own_date(spark, monkeypatch):
+    day = lambda *names: [f"to_date({n}) {n}" for n in names]
+    orders = spark.createDataFrame(
+        [("p", d, s, "BUY", 0.0, 0.05, 0.05) for d in ("1998-03-31", "2000-03-31") for s in ("A", "B")],
+        "portfolio_id string, as_of_date string, security_id string, side string, current_weight double, target_weight double, delta_weight double")
+    bars = spark.createDataFrame(
+        [("A", "1998-02-28", 10.0), ("A", "1998-03-31", 20.0), ("A", "1998-04-30", 99.0), ("A", "2001-12-31", 500.0),
+         ("B", "1999-12-31", 40.0), ("B", "2000-02-29", None)], "security_id string, date string, price_close double")
+    held = spark.createDataFrame([], "portfolio_id string, as_of_date date, security_id string, weight double")
+    frames = {"orders": orders.selectExpr("* except(as_of_date)", *day("as_of_date")), "current_weights": held}
+    for name, frame in frames.items():
+        monkeypatch.setattr(q_views, name, lambda spark, sf, frame=frame: frame)
+    monkeypatch.setattr(q_views.tb, "bars", lambda spark, sf: bars.selectExpr("security_id", "price_close", *day("date")))
+    got = {(str(r.as_of_date), r.security_id): (r.price, r.failed_check) for r in q_views.sized(spark, "").collect()}
+    assert got == {("1998-03-31", "A"): (20.0, None), ("1998-03-31", "B"): (None, "PRICE_AVAILABLE"),
+                   ("2000-03-31", "A"): (99.0, None), ("2000-03-31", "B"): (40.0, None)}
