@@ -25,7 +25,22 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Public licence wordings with markup.
+# Public licence wordings with markup, to the last word of each.
+_BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that
+    the following conditions are met [[1]] redistributions of source code must retain the above copyright notice
+    this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the
+    above copyright notice this list of conditions and the following disclaimer in the documentation and or other
+    materials provided with the distribution"""
+_BSD_ADVERTISING = """[[3]] all advertising materials mentioning features or use of this software must display the following
+    acknowledgement this product includes software developed by {{16}}"""
+_BSD_NAMES = """neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products
+    derived from this software without specific prior written permission"""
+_BSD_END = """this software is provided by {{12}} as is and any express or implied warranties including but not limited to the
+    implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{12}} be
+    liable for any direct indirect incidental special exemplary or consequential damages including but not limited to
+    procurement of substitute goods or services loss of use data or profits or business interruption however caused and
+    on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in
+    any way out of the use of this software even if advised of the possibility of such damage"""
 TEMPLATES = {
     "mit-notice": "[[this [[software]] [[project]] [[work]] is]] released under the [[terms of the]] mit license",
     "apache-notice": "licensed under the [[terms of the]] apache license [[version 2 0]]",
@@ -37,18 +52,32 @@ TEMPLATES = {
         rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit
         persons to whom the software is furnished to do so subject to the following conditions the above copyright
         notice and this permission notice [[including the next paragraph]] shall be included in all copies or
-        substantial portions of the software""",
+        substantial portions of the software the software is provided as is without warranty of any kind express or
+        implied including but not limited to the warranties of merchantability fitness for a particular purpose and
+        noninfringement in no event shall {{12}} be liable for any claim damages or other liability whether in an action
+        of contract tort or otherwise arising from out of or in connection with the software or the use or other
+        dealings in the software""",
     "isc": """permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is
-        hereby granted provided that the above copyright notice and this permission notice appear in all copies""",
+        hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is
+        provided as is and {{8}} disclaims all warranties with regard to this software including all implied warranties
+        of merchantability and fitness in no event shall {{8}} be liable for any special direct indirect or
+        consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action
+        of contract negligence or other tortious action arising out of or in connection with the use or performance of
+        this software""",
     "apache-2.0": """licensed under the apache license version 2 0 the license you may not use this {{3}} except in
         compliance with the license you may obtain a copy of the license at [[http]] [[https]] [[www]] apache org
-        licenses license 2 0""",
+        licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the
+        license is distributed on an as is basis without warranties or conditions of any kind either express or implied
+        see the license for the specific language governing permissions and limitations under the license""",
     "gpl-or-later": """this program is free software you can redistribute it and or modify it under the terms of the gnu
         general public license as published by the free software foundation either version {{2}} of the license or at
-        your option any later version""",
-    "bsd": """redistribution and use in source and binary forms with or without modification are permitted provided that
-        the following conditions are met [[1]] redistributions of source code must retain the above copyright notice
-        this list of conditions and the following disclaimer""",
+        your option any later version this program is distributed in the hope that it will be useful but without any
+        warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu
+        general public license for more details you should have received a copy of the gnu general public license along
+        with this program""",
+    "bsd-2-clause": f"{_BSD} {_BSD_END}",
+    "bsd-3-clause": f"{_BSD} [[3]] {_BSD_NAMES} {_BSD_END}",
+    "bsd-4-clause": f"{_BSD} {_BSD_ADVERTISING} [[4]] {_BSD_NAMES} {_BSD_END}",
     "cc-by-4.0": "[[this {{3}} is]] licensed under [[a]] [[the]] creative commons attribution 4 0 international license",
 }
 

@@ -220,6 +220,43 @@ def test_license_templates_want_mandatory_wording():
     assert not take("the a b c licence of kind") and not take("the big licence kind") and not take("licence of kind")
 
 
+def shortest(template):
+    """The template's mandatory wording."""
+    while "[[" in template:
+        template = re.sub(r"\[\[[^\[\]]*\]\]", " ", template)
+    return re.sub(r"\{\{\d+\}\}", " ", template).split()
+
+
+LONG = ("mit", "isc", "apache-2.0", "gpl-or-later", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause")
+
+
+@pytest.mark.parametrize("label", LONG)
+def test_licences_are_wanted_to_their_last_word(label):
+    by_word = license_scan.compiled(license_scan.TEMPLATES)
+    own = lambda words: license_scan.scanned(" ".join(words).encode(), {}, by_word)[3] & set(LONG)
+    words = shortest(license_scan.TEMPLATES[label])
+    assert own(["x", *words, "y"]) == {label}
+    assert not own(words[:-1]) and not own([*words[:-1], "changed"])
+    last = len(words) - 12
+    assert not own([*words[:last], "not", *words[last:]])
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software. {more}THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM,
+DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE
+OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_the_json_licence_is_not_mit():
+    by_word = license_scan.compiled(license_scan.TEMPLATES)
+    own = lambda more: license_scan.scanned(MIT.replace("{more}", more).encode(), {}, by_word)[3]
+    assert own("") == {"mit"} and own("The Software shall be used for Good, not Evil. ") == set()
+
+
 def test_mixture_meets_targets(spark, none):
     rows = [(i, " ".join(["w"] * (1 + i * 7 % 90)), "en", ["a", "b", "c", None][i % 4 if i % 3 else 0]) for i in range(400)]
     rows += [(400, None, "en", "a"), (401, "", "en", "d"), (7, "x y z", "en", "a"), (None, "q", "en", "b")]
