@@ -321,13 +321,7 @@ def _(spark, sf):
 
 @query("gradient_boosted_fit")
 def _(spark, sf):
-    """One purged fit of the boosted model, scored on the next dates (fewer rows per leaf here)."""
-    rows = ml.train_rows(panel(spark, sf), "2000-06-30", 2.0)
-    from pyspark.ml.regression import GBTRegressor
-
-    pipeline = ml.make_estimator("gbm", _X, 1, 1.0)
-    pipeline.getStages()[1].setParams(maxIter=10, minInstancesPerNode=20)
-    assert isinstance(pipeline.getStages()[1], GBTRegressor)
-    model = pipeline.fit(rows.select(*_X, "target").na.fill(0.5))
+    """One purged fit of the boosted model with the operator's parameters, scored on the next dates."""
+    model = ml.fit_model(ml.train_rows(panel(spark, sf), "2000-06-30", 2.0), "gbm", _X)
     after = panel(spark, sf).where("as_of_date >= DATE '2000-06-30'")
     return rounded(ml.score_rows(model, after, _X).select("as_of_date", "security_id", "raw_score"))

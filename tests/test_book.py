@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from __spark_entry__ import queries
 from quantloom.operators import book as bk, ml
 from quantloom.plans import q_views
 
@@ -82,3 +83,24 @@ def test_orders_are_sized_at_the_price_of_their_own_date(spark, monkeypatch):
     got = {(str(r.as_of_date), r.security_id): (r.price, r.failed_check) for r in q_views.sized(spark, "").collect()}
     assert got == {("1998-03-31", "A"): (20.0, None), ("1998-03-31", "B"): (None, "PRICE_AVAILABLE"),
                    ("2000-03-31", "A"): (99.0, None), ("2000-03-31", "B"): (40.0, None)}
+
+
+def test_the_registered_boosted_fit_is_the_operators(spark, monkeypatch):
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def fit(self, rows, params=None):
+        asked.append(self.getStages()[1])
+        raise Asked
+
+    columns = ", ".join(f"{c} double" for c in q_views._X)
+    frame = spark.createDataFrame([], f"as_of_date date, security_id string, label_known_at date, target double, {columns}")
+    monkeypatch.setattr(q_views, "panel", lambda spark, sf: frame)
+    monkeypatch.setattr(ml.Pipeline, "fit", fit)
+    with pytest.raises(Asked):
+        queries()["gradient_boosted_fit"](spark, "")
+    want = ml.make_estimator("gbm", q_views._X, 1, 1.0).getStages()[1]
+    value = lambda m: {p.name: m.getOrDefault(p) for p in m.params if m.isDefined(p)}
+    assert value(asked[0]) == value(want) and want.getMaxIter() == 200
