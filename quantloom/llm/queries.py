@@ -6,8 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import backoff_lm, chat, html_extract, jaccard_join, license_scan, mixing, posting_lists, quality_cnn, sharding, suffix_decontamination
+from quantloom.llm import (
+    backoff_lm,
+    chat,
+    html_extract,
+    jaccard_join,
+    license_scan,
+    merkle_manifest,
+    mixing,
+    posting_lists,
+    quality_cnn,
+    sharding,
+    suffix_decontamination,
+)
 from quantloom.llm.common import table
+from quantloom.llm.merkle_sql import manifest_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -133,3 +146,8 @@ def op3_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_posting_lists")
 def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posting_lists.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_merkle_manifest", manifest_sql())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents")).drop("proof")
