@@ -11,6 +11,7 @@ from quantloom.llm import (
     chat,
     html_extract,
     jaccard_join,
+    lattice_dedup,
     license_scan,
     merkle_manifest,
     mixing,
@@ -151,3 +152,22 @@ def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_merkle_manifest", manifest_sql())
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents")).drop("proof")
+
+
+@query(
+    "op12_lattice_dedup",
+    """
+    WITH RECURSIVE x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+    g AS (SELECT * FROM x WHERE len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(v, lambda c: c <> 0)) > 0),
+    e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM g a JOIN g b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+    uv AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+    r(u, v) AS (SELECT u, v FROM uv UNION SELECT r.u, uv.v FROM r JOIN uv ON r.v = uv.u),
+    m AS (SELECT u, min(v) AS v FROM r GROUP BY u),
+    n AS (SELECT u, count(*) AS n FROM uv GROUP BY u)
+    SELECT t.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(t.vec_id, coalesce(m.v, t.vec_id)) AS component_id,
+           t.vec_id = least(t.vec_id, coalesce(m.v, t.vec_id)) AS kept
+    FROM embeddings t LEFT JOIN n ON n.u = t.vec_id LEFT JOIN m ON m.u = t.vec_id
+    """,
+)
+def op12_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
