@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.llm import (
     backoff_lm,
+    bond_negatives,
     chat,
     html_extract,
     jaccard_join,
@@ -171,3 +172,23 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op13_hard_negatives",
+    """
+    WITH g AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, a.vec_id = b.vec_id AS own,
+                 CAST(list_sum(list_transform(range(len(a.c)), lambda i: a.c[i + 1] * b.c[i + 1])) AS BIGINT) AS score
+          FROM g a JOIN g b ON a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same AND NOT own
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+    WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 10
+    """,
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bond_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
