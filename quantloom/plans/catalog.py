@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from quantloom.plans import q_market, q_portfolio, q_research, q_sources, q_views  # noqa: F401
+from quantloom.plans import q_enforcement, q_market, q_portfolio, q_research, q_sources, q_views  # noqa: F401
 from quantloom.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -21,42 +21,49 @@ SELECT s.sector_id AS portfolio_id, date AS as_of_date, security_id, s.sector_id
 FROM (SELECT security_id, date, sum(CAST(round(net * 10000) AS BIGINT)) AS u FROM t_lines GROUP BY 1, 2) l
 JOIN t_securities s USING (security_id)
 """)
-block("t_risk_weights", "SELECT * FROM t_share_weights")
-block("t_window", f"""
+
+
+def risk_blocks(t: str, weights: str) -> None:
+    """Blocks of the risk model of one weights table, their names beginning with ``t``."""
+    block(f"{t}risk_weights", f"SELECT * FROM {weights}")
+    block(f"{t}window", f"""
 SELECT w.portfolio_id, w.as_of_date, w.security_id, w.weight, r.date, coalesce(r.ret, 0) AS ret, r.ret IS NOT NULL AS known
-FROM t_risk_weights w JOIN t_calendar c ON c.date = w.as_of_date
+FROM {t}risk_weights w JOIN t_calendar c ON c.date = w.as_of_date
 JOIN t_returns r ON r.security_id = w.security_id AND r.pos > c.pos - {LOOKBACK} AND r.pos <= c.pos AND r.pos > 0
 """)
-block("t_names", """
+    block(f"{t}names", f"""
 SELECT portfolio_id, as_of_date, security_id, any_value(weight) AS weight, avg(CASE WHEN known THEN 1.0::DOUBLE ELSE 0 END) >= 0.6 AS good,
-       avg(ret) AS m, count(*) AS n FROM t_window GROUP BY 1, 2, 3
+       avg(ret) AS m, count(*) AS n FROM {t}window GROUP BY 1, 2, 3
 """)
-block("t_x", "SELECT w.*, w.ret - n.m AS x, n.n FROM t_window w JOIN t_names n USING (portfolio_id, as_of_date, security_id) WHERE n.good")
-block("t_sample", """
+    block(f"{t}x", f"SELECT w.*, w.ret - n.m AS x, n.n FROM {t}window w JOIN {t}names n USING (portfolio_id, as_of_date, security_id) WHERE n.good")
+    block(f"{t}sample", f"""
 SELECT a.portfolio_id, a.as_of_date, a.security_id AS i, b.security_id AS j, sum(a.x * b.x) / any_value(a.n) AS s
-FROM t_x a JOIN t_x b ON a.portfolio_id = b.portfolio_id AND a.as_of_date = b.as_of_date AND a.date = b.date GROUP BY 1, 2, 3, 4
+FROM {t}x a JOIN {t}x b ON a.portfolio_id = b.portfolio_id AND a.as_of_date = b.as_of_date AND a.date = b.date GROUP BY 1, 2, 3, 4
 """)
-block("t_lw", """
+    block(f"{t}lw", f"""
 SELECT portfolio_id, as_of_date, mu, p, n, CASE WHEN d2 > 0 THEN least(b2, d2) / d2 ELSE 0 END AS shrink FROM (
  SELECT s.portfolio_id, s.as_of_date, s.mu, s.p, q.n, (s.f2 - s.p * s.mu * s.mu) / s.p AS d2, (q.x4 - q.n * s.f2) / (q.n * q.n * s.p) AS b2
  FROM (SELECT portfolio_id, as_of_date, sum(s) FILTER (WHERE i = j) / count(*) FILTER (WHERE i = j) AS mu, count(*) FILTER (WHERE i = j)::DOUBLE AS p, sum(s * s) AS f2
-       FROM t_sample GROUP BY 1, 2) s
- JOIN (SELECT portfolio_id, as_of_date, sum(v * v) AS x4, count(*)::DOUBLE AS n FROM (SELECT portfolio_id, as_of_date, date, sum(x * x) AS v FROM t_x GROUP BY 1, 2, 3) GROUP BY 1, 2) q
+       FROM {t}sample GROUP BY 1, 2) s
+ JOIN (SELECT portfolio_id, as_of_date, sum(v * v) AS x4, count(*)::DOUBLE AS n FROM (SELECT portfolio_id, as_of_date, date, sum(x * x) AS v FROM {t}x GROUP BY 1, 2, 3) GROUP BY 1, 2) q
  USING (portfolio_id, as_of_date))
 """)
-block("t_cov", """
+    block(f"{t}cov", f"""
 SELECT s.portfolio_id, s.as_of_date, s.i, s.j, 12 * ((1 - l.shrink) * s.s + CASE WHEN i = j THEN l.shrink * l.mu ELSE 0 END) AS c
-FROM t_sample s JOIN t_lw l USING (portfolio_id, as_of_date)
+FROM {t}sample s JOIN {t}lw l USING (portfolio_id, as_of_date)
 """)
-block("t_sigma_w", """
+    block(f"{t}sigma_w", f"""
 SELECT n.portfolio_id, n.as_of_date, n.security_id, n.weight,
-  CASE WHEN n.good THEN (SELECT sum(c.c * m.weight) FROM t_cov c JOIN t_names m ON m.portfolio_id = c.portfolio_id AND m.as_of_date = c.as_of_date AND m.security_id = c.j
+  CASE WHEN n.good THEN (SELECT sum(c.c * m.weight) FROM {t}cov c JOIN {t}names m ON m.portfolio_id = c.portfolio_id AND m.as_of_date = c.as_of_date AND m.security_id = c.j
                          WHERE c.portfolio_id = n.portfolio_id AND c.as_of_date = n.as_of_date AND c.i = n.security_id)
-       ELSE n.weight * (SELECT quantile_cont(c.c, 0.5) FROM t_cov c WHERE c.i = c.j AND c.portfolio_id = n.portfolio_id AND c.as_of_date = n.as_of_date) END AS sw
-FROM t_names n
+       ELSE n.weight * (SELECT quantile_cont(c.c, 0.5) FROM {t}cov c WHERE c.i = c.j AND c.portfolio_id = n.portfolio_id AND c.as_of_date = n.as_of_date) END AS sw
+FROM {t}names n
 """)
-block("t_variance", "SELECT portfolio_id, as_of_date, sum(weight * sw) AS variance, sum(weight) AS gross_exposure, sum(weight * weight) AS herfindahl FROM t_sigma_w GROUP BY 1, 2")
-block("t_contrib", "SELECT s.portfolio_id, s.as_of_date, s.security_id, s.weight, CASE WHEN variance > 0 THEN weight * sw / variance ELSE 0 END AS risk_contribution FROM t_sigma_w s JOIN t_variance v USING (portfolio_id, as_of_date)")
+    block(f"{t}variance", f"SELECT portfolio_id, as_of_date, sum(weight * sw) AS variance, sum(weight) AS gross_exposure, sum(weight * weight) AS herfindahl FROM {t}sigma_w GROUP BY 1, 2")
+    block(f"{t}contrib", f"SELECT s.portfolio_id, s.as_of_date, s.security_id, s.weight, CASE WHEN variance > 0 THEN weight * sw / variance ELSE 0 END AS risk_contribution FROM {t}sigma_w s JOIN {t}variance v USING (portfolio_id, as_of_date)")
+
+
+risk_blocks("t_", "t_share_weights")
 block("t_hist", """
 SELECT h.*, b.benchmark_return FROM (SELECT portfolio_id, as_of_date, date, sum(ret * weight) AS hist FROM t_window GROUP BY 1, 2, 3) h
 LEFT JOIN t_benchmark b USING (date)
