@@ -287,38 +287,6 @@ def _(spark, sf):
     return rounded(ml.population_stability(p.where(day < "1999-12-31"), p.where(day >= "1999-12-31"), _X))
 
 
-def predictions(spark, sf):
-    return staged(spark, sf, "predictions", lambda: ml.walk_forward_predict(
-        panel(spark, sf), "ridge", train_years=3.0, retrain_months=12, min_train_rows=200)[0])
-
-
-@query("walk_forward_predictions")
-def _(spark, sf):
-    """Ridge scores out of sample (compared with the closed form in the tests)."""
-    return rounded(predictions(spark, sf))
-
-
-@query("prediction_merge")
-def _(spark, sf):
-    joined = panel(spark, sf).join(predictions(spark, sf), ["as_of_date", "security_id"], "inner")
-    return rounded(rs.spearman(joined, ["as_of_date"], "ml_score", "forward_return", 10))
-
-
-@query("blended_signals")
-def _(spark, sf):
-    out = ml.blend_scores(pl.signals(spark, sf), predictions(spark, sf), tb.STRATEGY.signals, 0.5)
-    return rounded(out.select("as_of_date", "security_id", "ml_score", "rule_composite_score", "composite_score", "decision"))
-
-
-@query("drift_report")
-def _(spark, sf):
-    scored = panel(spark, sf).join(predictions(spark, sf), ["as_of_date", "security_id"])
-    day = F.col("as_of_date")
-    old, new = scored.where(day < "1999-12-31"), scored.where(day >= "1999-12-31")
-    mean_ic = lambda df: rs.spearman(df, ["as_of_date"], "ml_score", "forward_return", 10).agg(F.avg("ic")).first()[0]
-    return rounded(ml.drift_report(old, new, _X, "ml_score", mean_ic(old), mean_ic(new)))
-
-
 @query("gradient_boosted_fit")
 def _(spark, sf):
     """One purged fit of the boosted model with the operator's parameters, scored on the next dates."""
