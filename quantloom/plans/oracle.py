@@ -301,14 +301,20 @@ block("t_families", f"""
 SELECT e.*, {", ".join(f"w.pct_{f}" for f in FEATURES)}, {", ".join(_fam)}
 FROM t_eligible e LEFT JOIN t_pct_wide w USING (as_of_date, security_id)
 """)
-_w = STRATEGY.composite_weights
-_cov = " + ".join(["0.0::DOUBLE", *[f"CASE WHEN {f}_score IS NULL THEN 0.0::DOUBLE ELSE {_w[f]}::DOUBLE END" for f in FAMILIES]])
-_sum = " + ".join(["0.0::DOUBLE", *[f"coalesce({f}_score, 0) * {_w[f]}::DOUBLE" for f in FAMILIES]])
-block("t_composite", f"""
+
+
+def composite_sql(w: dict[str, float], source: str = "t_families") -> str:
+    """Composite scores under the weights ``w``."""
+    cov = " + ".join(["0.0::DOUBLE", *[f"CASE WHEN {f}_score IS NULL THEN 0.0::DOUBLE ELSE {w[f]}::DOUBLE END" for f in FAMILIES]])
+    total = " + ".join(["0.0::DOUBLE", *[f"coalesce({f}_score, 0) * {w[f]}::DOUBLE" for f in FAMILIES]])
+    return f"""
 SELECT *, CASE WHEN data_coverage >= 0.7 - 1e-12 AND data_coverage > 0
                THEN least(greatest(weighted / data_coverage, 0), 100) END AS composite_score
-FROM (SELECT *, {_cov} AS data_coverage, {_sum} AS weighted FROM t_families)
-""")
+FROM (SELECT *, {cov} AS data_coverage, {total} AS weighted FROM {source})
+"""
+
+
+block("t_composite", composite_sql(STRATEGY.composite_weights))
 _pcts = ", ".join(
     f"{percentile_of(f'{n}_score', 'as_of_date')} AS {n}_percentile" for n in ("composite", *FAMILIES)
 )
@@ -318,7 +324,6 @@ FROM (SELECT *, {_pcts}, {percentile_of("adv_usd", "as_of_date")} AS liquidity_p
              {percentile_of("volatility_63d", "as_of_date")} AS vol_pct
       FROM t_composite WHERE composite_score IS NOT NULL)
 """)
-_s = STRATEGY.signals
 
 
 def _gate(family: str, least: float) -> str:
@@ -328,20 +333,25 @@ def _gate(family: str, least: float) -> str:
     )
 
 
-block("t_signals", f"""
-SELECT *, CASE WHEN buy AND coalesce(composite_percentile, 0) >= {_s.strong_long_composite_percentile} THEN 'STRONG_LONG'
+def labels_sql(s, source: str = "t_scored") -> str:
+    """Decisions under the thresholds ``s``."""
+    return f"""
+SELECT *, CASE WHEN buy AND coalesce(composite_percentile, 0) >= {s.strong_long_composite_percentile} THEN 'STRONG_LONG'
   WHEN buy THEN 'LONG'
-  WHEN composite_percentile <= {_s.avoid_composite_percentile} OR risk_flag = 1 THEN 'AVOID'
-  WHEN composite_percentile <= {_s.reduce_composite_percentile}
-       OR coalesce(revisions_percentile <= {_s.reduce_revisions_percentile}, FALSE) THEN 'REDUCE'
-  WHEN composite_percentile >= {_s.watch_composite_percentile} THEN 'WATCH' ELSE 'NEUTRAL' END AS decision
-FROM (SELECT *, composite_percentile >= {_s.long_composite_percentile}
-             AND {_gate("profitability", _s.long_min_profitability_percentile)}
-             AND {_gate("momentum", _s.long_min_momentum_percentile)}
-             AND {_gate("revisions", _s.long_min_revisions_percentile)}
-             AND coalesce(liquidity_percentile, 0) >= {_s.long_min_liquidity_percentile}
-             AND risk_flag = 0 AS buy FROM t_scored)
-""")
+  WHEN composite_percentile <= {s.avoid_composite_percentile} OR risk_flag = 1 THEN 'AVOID'
+  WHEN composite_percentile <= {s.reduce_composite_percentile}
+       OR coalesce(revisions_percentile <= {s.reduce_revisions_percentile}, FALSE) THEN 'REDUCE'
+  WHEN composite_percentile >= {s.watch_composite_percentile} THEN 'WATCH' ELSE 'NEUTRAL' END AS decision
+FROM (SELECT *, composite_percentile >= {s.long_composite_percentile}
+             AND {_gate("profitability", s.long_min_profitability_percentile)}
+             AND {_gate("momentum", s.long_min_momentum_percentile)}
+             AND {_gate("revisions", s.long_min_revisions_percentile)}
+             AND coalesce(liquidity_percentile, 0) >= {s.long_min_liquidity_percentile}
+             AND risk_flag = 0 AS buy FROM {source})
+"""
+
+
+block("t_signals", labels_sql(STRATEGY.signals))
 block("t_price_named", "SELECT p.*, s.sector_id FROM t_price_features p JOIN t_securities s USING (security_id)")
 
 # ---------------------------------------------------------------- research
