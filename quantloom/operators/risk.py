@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +45,8 @@ def held_returns(returns: DataFrame, held: DataFrame, days: DataFrame, lookback:
 Z_95 = 1.6448536269514722
 ES_95 = 2.0627128075074257
 MIN_HISTORY = 20
-SALTS = 8
+#: Names whose products one group adds up.
+GRAM_NAMES = 4096
 TOLERANCE = 1e-6
 
 
@@ -74,13 +77,7 @@ def covariance_model(
     variances = centred.groupBy(*keys, "security_id").agg(
         (F.sum(F.col("x") * F.col("x")) / F.max("n")).alias("variance")
     )
-    gram = date_gram(centred, keys, date)
-    norms = gram.groupBy(*keys).agg(
-        # Off-diagonal cells are kept once, so they count twice.
-        F.sum(F.when(F.col("k") == F.col("l"), F.col("g") ** 2).otherwise(2 * F.col("g") ** 2)).alias("_g2"),
-        F.sum(F.when(F.col("k") == F.col("l"), F.col("g") ** 2)).alias("_x4"),
-        F.sum(F.when(F.col("k") == F.col("l"), F.col("g"))).alias("_trace"),
-    )
+    norms = gram_norms(centred, keys, date)
     sized = group_quantiles(variances, keys, "variance", {"_median": 0.5}).withColumnRenamed(
         "n_total", "p"
     )
@@ -110,54 +107,59 @@ def covariance_model(
     return out, scalars
 
 
-def date_gram(centred: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
-    """``(keys, k, l, g)``: sums over names of ``x_k * x_l`` for date pairs ``k <= l``.
+def gram_norms(centred: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
+    """``(keys, _g2, _x4, _trace)``: of the date x date matrix of sums over names of ``x_k * x_l``, the
+    squared norm, the sum of squares of the diagonal, and its trace.
 
-    The names of a key are dealt to ``SALTS`` groups; each gives one packed date x date matrix, whose
-    size the look-back bounds, and these are added cell by cell.
+    The names of a key are dealt to groups of bounded size; each gives one packed matrix (its upper
+    triangle, whose size the look-back bounds), and a second step adds these and takes the norms. No
+    cell of a matrix is ever a row.
     """
     keys = list(keys)
     series = centred.groupBy(*keys, "security_id").agg(
         F.sort_array(F.collect_list(F.struct(F.col(date).alias("d"), "x"))).alias("s")
     )
-    salted = series.select(
+    groups = series.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / GRAM_NAMES).alias("_groups"))
+    salted = series.join(groups, keys).select(
         *keys,
-        F.pmod(F.xxhash64("security_id"), F.lit(SALTS)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("security_id"), "_groups").cast("int").alias("salt"),
         F.col("s.d").alias("d"),
         F.col("s.x").alias("x"),
     )
     kinds = dict(centred.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", days array<date>, g array<double>"
-
-    def fold(group):
-        import numpy as np
-        import pyarrow as pa
+    named = ", ".join(f"{k} {kinds[k]}" for k in keys)
 
-        days = sorted(set(group.column("d").combine_chunks().flatten().to_pylist()))
-        place = {day: i for i, day in enumerate(days)}
+    def fold(group: pa.Table) -> pa.Table:
+        days = np.unique(group.column("d").combine_chunks().flatten().to_numpy(zero_copy_only=False))
         total = np.zeros((len(days), len(days)))
         for batch in group.to_batches(max_chunksize=1024):
+            own, values = batch.column("d"), batch.column("x")
             rows = np.zeros((batch.num_rows, len(days)))
-            for r, (own, values) in enumerate(zip(batch.column("d").to_pylist(), batch.column("x").to_pylist())):
-                rows[r, [place[day] for day in own]] = values
+            at = np.repeat(np.arange(batch.num_rows), own.value_lengths().to_numpy(zero_copy_only=False))
+            rows[at, np.searchsorted(days, own.flatten().to_numpy(zero_copy_only=False))] = values.flatten().to_numpy(zero_copy_only=False)
             total += rows.T @ rows
-        named = {k: group.column(k).slice(0, 1) for k in keys}
         packed = {
-            "days": pa.array([days], pa.list_(pa.date32())),
-            "g": pa.array([total.ravel().tolist()], pa.list_(pa.float64())),
+            "days": pa.array([days.tolist()], pa.list_(pa.date32())),
+            "g": pa.array([total[np.triu_indices(len(days))]], pa.list_(pa.float64())),
         }
-        return pa.table({**named, **packed})
+        return pa.table({**{k: group.column(k).slice(0, 1) for k in keys}, **packed})
 
-    parts = salted.groupBy(*keys, "salt").applyInArrow(fold, schema)
-    n = F.size("days")
-    cell = F.posexplode("g").alias("at", "v")
-    spread = parts.select(*keys, "days", cell).select(
-        *keys,
-        F.get("days", F.floor(F.col("at") / n).cast("int")).alias("k"),
-        F.get("days", (F.col("at") % n).cast("int")).alias("l"),
-        "v",
-    )
-    return spread.where("k <= l").groupBy(*keys, "k", "l").agg(F.sum("v").alias("g"))
+    def merge(group: pa.Table) -> pa.Table:
+        parts = list(zip(group.column("days").to_pylist(), group.column("g"), strict=True))
+        days = sorted({day for own, _ in parts for day in own})
+        place = {day: i for i, day in enumerate(days)}
+        total = np.zeros((len(days), len(days)))
+        for own, packed in parts:
+            k, l = np.triu_indices(len(own))
+            at = np.array([place[day] for day in own])
+            total[at[k], at[l]] += packed.values.to_numpy(zero_copy_only=False)
+        diagonal = np.diag(total)
+        # Off-diagonal cells are kept once, so they count twice.
+        sums = {"_g2": 2 * (total**2).sum() - (diagonal**2).sum(), "_x4": (diagonal**2).sum(), "_trace": diagonal.sum()}
+        return pa.table({**{k: group.column(k).slice(0, 1) for k in keys}, **{n: [float(v)] for n, v in sums.items()}})
+
+    parts = salted.groupBy(*keys, "salt").applyInArrow(fold, f"{named}, days array<date>, g array<double>")
+    return parts.groupBy(*keys).applyInArrow(merge, f"{named}, _g2 double, _x4 double, _trace double")
 
 
 def risk_report(

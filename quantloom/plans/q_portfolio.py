@@ -96,22 +96,30 @@ def share_weights(spark, sf):
     return staged(spark, sf, "share_weights", build)
 
 
-def risk_inputs(spark, sf, weights):
-    """Trailing returns of the held names and the benchmark, per portfolio and date."""
-    days = tb.calendar(spark, sf)
-    rets = pl.returns(spark, sf)
+def risk_window(spark, sf, weights):
+    """Trailing returns of the held names, per portfolio and date."""
     held = weights.select("portfolio_id", "as_of_date", "security_id")
-    window = rk.held_returns(rets, held, days, LOOKBACK)
-    bench = se.equal_weight_returns(rets)
-    index = window.select("portfolio_id", "as_of_date", "date").distinct().join(F.broadcast(bench), "date", "left")
-    return window, index
+    return rk.held_returns(pl.returns(spark, sf), held, tb.calendar(spark, sf), LOOKBACK)
+
+
+def risk_index(spark, sf, window):
+    """The benchmark on the days of each window."""
+    bench = se.equal_weight_returns(pl.returns(spark, sf))
+    return window.select("portfolio_id", "as_of_date", "date").distinct().join(F.broadcast(bench), "date", "left")
+
+
+def risk_inputs(spark, sf, weights):
+    window = risk_window(spark, sf, weights)
+    return window, risk_index(spark, sf, window)
+
+
+def share_window(spark, sf):
+    return staged(spark, sf, "risk_window", lambda: risk_window(spark, sf, share_weights(spark, sf)))
 
 
 def risk_tables(spark, sf):
-    weights = share_weights(spark, sf)
-    window = staged(spark, sf, "risk_window", lambda: risk_inputs(spark, sf, weights)[0])
-    index = risk_inputs(spark, sf, weights)[1]
-    report, contributions = rk.risk_report(weights, window, index, KEYS, periods=12)
+    weights, window = share_weights(spark, sf), share_window(spark, sf)
+    report, contributions = rk.risk_report(weights, window, risk_index(spark, sf, window), KEYS, periods=12)
     return (weights, staged(spark, sf, "risk_report", lambda: report),
             staged(spark, sf, "risk_contributions", lambda: contributions))
 
@@ -137,9 +145,7 @@ def _(spark, sf):
 
 @query("covariance_shrinkage", "SELECT portfolio_id, as_of_date, n::BIGINT AS n, p::BIGINT AS p, round(mu, 6) AS mu, round(shrink, 6) AS shrink FROM t_lw")
 def _(spark, sf):
-    weights = share_weights(spark, sf)
-    window = staged(spark, sf, "risk_window", lambda: risk_inputs(spark, sf, weights)[0])
-    return rounded(rk.covariance_model(window, KEYS)[1].select(*KEYS, "n", "p", "mu", "shrink"))
+    return rounded(rk.covariance_model(share_window(spark, sf), KEYS)[1].select(*KEYS, "n", "p", "mu", "shrink"))
 
 
 @query("top_risk_contributors", """
@@ -474,8 +480,8 @@ def _(spark, sf):
 
 
 # configurations: the regional portfolios compete, as parameter settings would
-TRAIN, TEST = 24, 6
-block("t_days", "SELECT DISTINCT pos, pos - (SELECT min(pos) FROM t_attributed) AS k FROM t_attributed")
+TRAIN, TEST, HOLDOUT = 24, 6, 60  # rows from the holdout on take no part in any choice
+block("t_days", f"SELECT pos, k FROM (SELECT DISTINCT pos, pos - (SELECT min(pos) FROM t_attributed) AS k FROM t_attributed) WHERE k < {HOLDOUT}")
 block("t_config", "SELECT a.portfolio_id AS config_id, d.k AS pos, a.ret, a.benchmark_return FROM t_attr_bench a JOIN t_days d USING (pos)")
 block("t_folds", f"SELECT DISTINCT (k - {TRAIN}) // {TEST} AS fold, (k - {TRAIN}) // {TEST} * {TEST} + {TRAIN} AS s FROM t_days WHERE k >= {TRAIN}")
 block("t_fold_best", f"""
@@ -488,7 +494,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY train_sco
 def config_returns(spark, sf):
     df = with_benchmark(spark, sf, attributed(spark, sf))
     first = attributed(spark, sf).select(F.min("pos")).scalar()
-    return df.select(F.col("portfolio_id").alias("config_id"), (F.col("pos") - first).alias("pos"), "ret", "benchmark_return")
+    rows = df.select(F.col("portfolio_id").alias("config_id"), (F.col("pos") - first).alias("pos"), "ret", "benchmark_return")
+    return rows.where(F.col("pos") < HOLDOUT)
 
 
 def walk_forward(spark, sf):
