@@ -26,18 +26,20 @@ from quantloom.llm.common import staged
 
 #: Weight of a node's own presentation against its content and children, and what counts as low.
 GAMMA, LOW, LEAST_PAGES = 0.9, 0.25, 4
+#: A block's text is low on its own if it stands on so large a part of the pages that have its node.
+MOST = 0.5
 
 # Names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
+RAW = set("script style textarea title noscript iframe template svg xmp noembed noframes".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pre section summary table tbody td tfoot "
     "th thead tr ul".split()
 )
 DROPPED = set(
-    "head script style noscript template iframe svg math nav header footer aside form button select textarea "
-    "input label dialog menu object canvas audio video title".split()
+    "head script style noscript template iframe svg nav header footer aside form button select textarea "
+    "input dialog menu object canvas audio video title".split()
 )
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 MARKS = set(
@@ -46,16 +48,29 @@ MARKS = set(
     "newsletter subscribe signup share sharing social related recommended widget comment comments disqus replies respond "
     "pagination pager toc toolbar login".split()
 )
-# A class that ends so tells a state of the page and not what the element is.
-STATES = set("open closed enabled disabled on off".split())
+# Words that may stand beside a mark in a name of several words: what the element is, or where.
+BESIDE = set(
+    "area article articles bar bars block body bottom box btn button buttons card cell col column container content form "
+    "google group icon icons inline inner item items label large left line link links list main mobile panel posts primary right row "
+    "secondary section side slot small space stories sticky strip text title top unit wrap wrapper zone c l js".split()
+)
+# Marks that may also come last in such a name, behind words that only say where; the others come first.
+LAST = set(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar breadcrumb breadcrumbs cookie "
+    "cookies consent popup newsletter subscribe signup share sharing related recommended comments disqus pagination pager".split()
+)
+BEFORE = set("article bottom c google inline item js l large left mobile primary right side small sticky text top".split())
+# What a text's own parts are: only a class that is a mark as a whole speaks against them, no id.
+TEXTUAL = set("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre figcaption caption span b i em strong a".split())
+#: Beyond so many levels a path ends in a hash of the rest.
+DEEP = 64
 CLOSES_P = BLOCK - {"html", "body"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<",
-    re.S,
-)
+# After "<": a comment, a declaration, an end or a start tag. Each ends at the first ">" but for start
+# tags, whose quoted values may hold some.
+COMMENT, TAG = re.compile(r"!--.*?(?:-->|\Z)", re.S), re.compile(r"[!?]|(/?)([a-zA-Z][^\s/>]*)")
+VALUES = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
@@ -74,15 +89,16 @@ def attributes(source: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(source)}
 
 
-def marks_of(names: list[str]) -> set[str]:
-    """What classes and ids mark: the whole name or its first word, if the name tells no state."""
-    out = set()
-    for name in map(str.lower, names):
-        words = re.split(r"[-_]+", name)
-        out.add(name)
-        if words[-1] not in STATES:
-            out.add(words[0])
-    return out & MARKS
+def marked_name(name: str, textual: bool = False) -> bool:
+    """Whether a class or id marks its element: as a whole; or, if the element is no part of a text, as a
+    mark with words that say no more than what or where it is."""
+    if name in MARKS or textual:
+        return name in MARKS
+    words = [w for w in re.split(r"[-_]+", name) if w]
+    if not words:
+        return False
+    first = words[0] in MARKS and all(w in MARKS or w in BESIDE or w.isdigit() for w in words)
+    return first or words[-1] in LAST and all(w in BEFORE for w in words[:-1])
 
 
 def opened(tag: str, source: str, parent: Node) -> Node:
@@ -92,14 +108,23 @@ def opened(tag: str, source: str, parent: Node) -> Node:
         classes = have.get("class", "").split()
         if classes:
             name = f"{tag}.{classes[0]}"
-        marks, role = marks_of([*classes, *have.get("id", "").split()]), have.get("role", "").lower()
+        role, textual = have.get("role", "").lower(), tag in TEXTUAL
+        named = [c.lower() for c in (classes if textual else [*classes, *have.get("id", "").split()])]
         if tag == "article":
-            dropped |= bool(marks & {"comment", "comments"})
+            dropped |= bool({"comment", "comments"} & {w for c in named for w in (c, re.split("[-_]", c)[0])})
         elif tag not in ("html", "body", "main"):
-            marked |= bool(marks)
+            marked |= any(marked_name(c, textual) for c in named)
         marked |= role == "form"
         dropped |= role in ROLES - {"form"} or "hidden" in have
-    return Node(tag, f"{parent.path}>{name}", dropped, marked, parent.main or tag in ("article", "main"))
+    return Node(tag, below(parent.path, name), dropped, marked, parent.main or tag in ("article", "main"))
+
+
+def below(path: str, name: str) -> str:
+    """The path of a child; its length is bounded, however deep the page nests."""
+    if path.count(">") < DEEP:
+        return f"{path}>{name}"
+    head, _, rest = path.partition(">~")
+    return f"{head}>~{xxhash.xxh64_hexdigest(f'{rest}>{name}')}"
 
 
 def settle(root: Node) -> None:
@@ -109,11 +134,12 @@ def settle(root: Node) -> None:
     nodes = list(walk(root))
     for node in reversed(nodes):  # what stands below comes first
         node.holds = not node.dropped and (node.tag in ("article", "main") or any(k.holds for k in node.kids if isinstance(k, Node)))
-    todo = [(root, False, False)]
+    todo, bodies = [(root, False, False)], 0
     while todo:
         node, dropped, article = todo.pop()
         node.dropped |= dropped or node.marked and (article or not node.holds)
-        if node.tag == "body":
+        bodies += node.tag == "body"
+        if node.tag == "body" and bodies == 1:
             rest = [k for k in node.kids if (k.strip() if isinstance(k, str) else k.tag == "form" or not k.dropped and not k.marked and any(isinstance(t, str) and t.strip() for x in walk(k) for t in x.kids))]
             if len(rest) == 1 and isinstance(rest[0], Node) and rest[0].tag == "form" and any(re.fullmatch("p|h[1-6]", x.tag) for x in walk(rest[0])):
                 rest[0].marked = False
@@ -123,52 +149,89 @@ def settle(root: Node) -> None:
         node.holds = not node.dropped and (node.tag in ("article", "main") or any(k.holds for k in node.kids if isinstance(k, Node)))
 
 
+class Open:
+    """The open elements, with the places of each tag, so that none is searched for."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.blocks = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, at: int) -> None:
+        for node in self.stack[at:]:
+            self.places[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+        del self.stack[at:]
+
+
+LISTS = ("ul", "ol", "dl", "table", "select")
+
+
 def parsed(page: str) -> Node:
-    """The tree of a page; text stands as strings among the kids. Wrong nesting closes what is open."""
+    """The tree of a page; text stands as strings among the kids. Wrong nesting closes what is open; a "<"
+    that no ">" follows begins text. Every step takes time in proportion to what it consumes."""
     root = Node("", "", False, False, False)
-    stack, at, n = [root], 0, len(page)
+    held, at, n, final = Open(root), 0, len(page), page.rfind(">")
+    quoted = True  # false once quotes do not pair up to the end of the page
     while at < n:
-        m = TOKEN.match(page, at)
-        at = m.end()
+        start = page.find("<", at)
+        if start != at:
+            held.stack[-1].kids.append(page[at : start if start >= 0 else n])
+            at = start if start >= 0 else n
+            continue
+        comment = COMMENT.match(page, at + 1) if page.startswith("!--", at + 1) else None
+        if comment:
+            at = comment.end()
+            continue
+        m = TAG.match(page, at + 1) if at < final else None
+        if not m:  # a plain "<"; behind the last ">" all is text
+            end = n if at > final else at + 1
+            held.stack[-1].kids.append(page[at:end])
+            at = end
+            continue
+        tag, first = (m[2] or "").lower(), m.end()
+        closed = VALUES.match(page, first) if quoted and tag and not m[1] else None
+        quoted &= bool(closed) or not tag or bool(m[1])
+        at = closed.end() if closed else page.index(">", first) + 1
+        if not tag:
+            continue
         if m[1]:
-            tag = m[1].lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-        elif m[2] or m[4]:
-            tag, source = (m[2] or m[4]).lower(), m[3] if m[2] else m[5]
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == "p":
-                        del stack[i:]
-                        break
-                    if stack[i].tag in BLOCK:
-                        break
-            if tag in SAME:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in SAME[tag]:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in ("ul", "ol", "dl", "table", "select"):
-                        break
-            parent = stack[-1]
-            if tag in VOID:
-                parent.kids.append("\n" if tag == "br" else " " if tag == "hr" else "")
-                continue
-            node = opened(tag, source, parent)
-            parent.kids.append(node)
-            if tag in RAW and not source.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
-            elif not (source.rstrip().endswith("/") and tag not in BLOCK):
-                stack.append(node)
-        elif not m[0].startswith("<") or len(m[0]) == 1:
-            stack[-1].kids.append(m[0])
+            if held.places.get(tag):
+                held.close(held.places[tag][-1])
+            continue
+        source = page[first : at - 1]
+        if tag in CLOSES_P and held.last(("p",)) > max((b for b in held.blocks[-2:] if held.stack[b].tag != "p"), default=0):
+            held.close(held.last(("p",)))
+        if tag in SAME and held.last(SAME[tag]) > held.last(LISTS):
+            held.close(held.last(SAME[tag]))
+        parent = held.stack[-1]
+        if tag in VOID:
+            parent.kids.append("\n" if tag == "br" else " " if tag == "hr" else "")
+            continue
+        node = opened(tag, source, parent)
+        parent.kids.append(node)
+        if tag in RAW and not source.rstrip().endswith("/"):
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = end.end() if end else n
+        elif not (source.rstrip().endswith("/") and tag not in BLOCK):
+            held.push(node)
     settle(root)
     return root
 
 
+def text_key(path: str, text: str) -> str:
+    """A content node finer than its path: the text of a block there."""
+    return f"{path}\n{xxhash.xxh64_intdigest(text) >> 1}"
+
+
 def blocks(root: Node, removed: set[str]) -> list[tuple[str, str]]:
     """(path, text) of the page's blocks in page order, without dropped and removed branches. What
     holds a declared article is not removed, nor a word in bold or a link within its text."""
@@ -179,7 +242,7 @@ def blocks(root: Node, removed: set[str]) -> list[tuple[str, str]]:
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
-        if text:
+        if text and text_key(path, text) not in removed:
             out.append((path, text))
         held.clear()
 
@@ -214,7 +277,7 @@ def walk(root: Node) -> Iterator[Node]:
 
 def features(root: Node) -> Iterator[tuple[str, int, bool]]:
     """(kind and path, feature, whether in declared content) of a page, each once: kind "s" a style of
-    children, "c" a text."""
+    children, "c" a text, "t" the text of a block where the page declares no article."""
     seen = set()
     for node in walk(root):
         if not node.path or node.dropped:
@@ -224,6 +287,8 @@ def features(root: Node) -> Iterator[tuple[str, int, bool]]:
         for k in node.kids:
             if isinstance(k, str) and k.strip():
                 seen.add((f"c{node.path}", xxhash.xxh64_intdigest(" ".join(k.split())) >> 1, node.main))
+    if not any(n.tag in ("article", "main") and n.holds for n in walk(root)):
+        seen |= {(f"t{path}", xxhash.xxh64_intdigest(text) >> 1, False) for path, text in blocks(root, set())}
     yield from seen
 
 
@@ -268,7 +333,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     once = found.groupBy("host", "print").agg(F.first("keys").alias("keys"), F.first("features").alias("features"))
     each = once.select("host", F.explode(F.arrays_zip("keys", "features")).alias("_f"))
     counted = each.groupBy("host", F.col("_f.keys").alias("_key"), F.col("_f.features").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
-    counted = counted.select("host", F.substring("_key", 2, 1 << 30).alias("path"), F.substring("_key", 1, 1).alias("kind"), "n")
+    counted = counted.select("host", F.substring("_key", 2, 1 << 30).alias("path"), F.substring("_key", 1, 1).alias("kind"), "feature", "n")
     # Summed by kind first: a path's pages are the sum of its styles, one style a page and node.
     x = F.col("n") * F.log("n")
     sums = counted.groupBy("host", "path").agg(
@@ -279,8 +344,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
     )
     base = F.log(F.col("pages"))
     one = F.col("pages") < 2
+    often = counted.where((F.col("kind") == "t") & (F.col("n") >= LEAST_PAGES))
+    often = often.groupBy("host", "path").agg(F.collect_list(F.struct("n", "feature")).alias("often"))
+    sums = sums.join(often, ["host", "path"], "left")
+    # Texts on most pages that have the node: as content of their own they are the same everywhere.
+    texts = F.transform(F.filter("often", lambda t: t["n"] >= MOST * F.col("pages")), lambda t: t["feature"])
     return sums.select(
-        "host", "path", "pages", "_texts",
+        "host", "path", "pages", "_texts", F.coalesce(texts, F.array().cast("array<bigint>")).alias("texts"),
         F.when(one, 1.0).otherwise((base - F.col("_xs") / F.col("pages")) / base).alias("presentation"),
         F.when(one | (F.col("_texts") == 0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("_xc") / F.col("_texts") / base)).alias("content"),
     )
@@ -301,7 +371,8 @@ def low_branches(tree: DataFrame) -> DataFrame:
     )
     value = F.when(F.col("_w") > 0, (1 - GAMMA) * F.col("_p") + GAMMA * F.col("_c") / F.col("_w")).otherwise(F.lit(1.0))
     low = joint.where((F.col("pages") >= LEAST_PAGES) & (value < LOW) & F.col("path").rlike("^>html>body>."))
-    return low.groupBy("host").agg(F.collect_set("path").alias("paths"))
+    texts = tree.select("host", "path", F.explode("texts").alias("_t")).select("host", F.concat_ws("\n", "path", F.col("_t").cast("string")).alias("path"))
+    return low.select("host", "path").unionByName(texts).groupBy("host").agg(F.collect_set("path").alias("paths"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

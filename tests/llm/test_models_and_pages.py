@@ -211,3 +211,51 @@ def test_notices_that_a_host_repeats_in_its_articles_are_low(spark):
     # An article on many pages is one article: nothing in it is low, whatever stands around it.
     copied = [f"<p>page {i}</p>{article.format(0, 0)}" for i in range(6)]
     assert set(texts_of(spark, copied).values()) == {"Title 0\n\nread our other pages\n\nstory 0"}
+
+
+def test_headings_and_paragraphs_are_no_boilerplate_by_their_names():
+    inside = "<h2 id='social-life'>one</h2><p class='share-price'>two</p><section class='related-work'><p>three</p></section><p id='notice-of-appeal'>four</p>"
+    assert one_text(f"<article>{inside}<p><math><mi>x</mi></math> <label>five</label></p></article>") == "one\n\ntwo\n\nthree\n\nfour\n\nx five"
+    assert one_text(f"<h2 id='navigation-in-birds'>zero</h2>{inside}") == "zero\n\none\n\ntwo\n\nthree\n\nfour"
+    for name in ("article-ad", "c-newsletter", "ad-slot-2", "cookie-banner", "top-ads", "sharing_buttons", "advertisement"):
+        assert one_text(f"<article><p>story</p><div class='{name}'><p>no</p></div></article>") == "story"
+    assert one_text("<article><p>story</p><p class='ad'>no</p><p class='advert-free'>yes</p></article>") == "story\n\nyes"
+
+
+def test_a_notice_on_most_pages_of_a_host_goes_where_no_article_is_declared(spark):
+    """It shares its path with the paragraphs: only its text tells them apart."""
+    bodies = [f"<div class='x'><p>We use cookies on this site</p><p>story {i}</p><p>{'told' if i < 2 else i}</p></div>" for i in range(8)]
+    want = {i: f"story {i}\n\n{'told' if i < 2 else i}" for i in range(8)}
+    assert texts_of(spark, bodies) == want
+    # Below half of the pages, and on few pages, it stays; so does a text that articles declare.
+    few = [f"<div class='x'><p>{'Notice' if i < 3 else f'other {i}'}</p><p>story {i}</p></div>" for i in range(8)]
+    assert all(("Notice" in t) == (i < 3) for i, t in texts_of(spark, few).items())
+
+
+ODD = {
+    "unclosed tags": "<a " * 350_000,
+    "unclosed quotes": "<a '\"" * 200_000 + ">",
+    "quotes and brackets": "<a \"'>" * 170_000,
+    "end tags": "</a " * 250_000,
+    "declarations": "<!" * 500_000,
+    "comments": "<!-- " * 200_000,
+    "deep": "<div>" * 200_000 + "</x>" * 100_000,
+    "inline and paragraphs": "<b><p></p>" * 100_000,
+    "items": "<ul>" + "<b>" * 100_000 + "<li></li>" * 70_000,
+    "bodies": "<body>" * 150_000,
+    "brackets": "<" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("kind", ODD)
+def test_pages_of_a_megabyte_take_time_in_proportion(kind):
+    import time
+
+    began = time.process_time()
+    text = one_text(f"<p>story</p>{ODD[kind]}")
+    assert time.process_time() - began < 20 and text.startswith("story")
+
+
+def test_text_behind_the_last_bracket_is_kept():
+    assert html_extract.blocks(html_extract.parsed("<p>one</p>two <b three"), set())[-1][1] == "two <b three"
+    assert one_text("<p title='a > b'>one</p><p title=\"x>two</p><p>three</p>").endswith("three")
