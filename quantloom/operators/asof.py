@@ -32,6 +32,16 @@ def assert_point_in_time(
     return df
 
 
+def guarded(df: DataFrame, as_of: Date | str | Column, available: str = "available_at") -> DataFrame:
+    """``df`` with the check carried by its plan: the job that reads it, whoever runs it, fails at the
+    first row that becomes known after ``as_of`` (a date, or a column with each row's own). A row
+    without a time fails as well. No job runs for the check itself."""
+    moment = as_of if isinstance(as_of, Column) else F.lit(str(as_of)).cast("date")
+    known = F.coalesce(F.col(available) <= moment, F.lit(False))
+    said = F.concat(F.lit(f"look-ahead: {available} "), F.coalesce(F.col(available).cast("string"), F.lit("unknown")), F.lit(" is not known at "), moment.cast("string"))
+    return df.where(F.when(known, F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
+
+
 def latest_as_of(
     df: DataFrame,
     as_of: Date | str,

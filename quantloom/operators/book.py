@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -76,6 +76,11 @@ def last_prices(prices: DataFrame, price: str = "price_close") -> DataFrame:
     return known.groupBy("security_id").agg(F.max_by(price, "date").alias("price"))
 
 
+def share_step(x: Column) -> Column:
+    """Quantities to the ten-thousandth, halves up."""
+    return F.floor(x * 10_000.0 + 0.5) / F.lit(10_000.0)
+
+
 def sized_orders(
     orders: DataFrame,
     prices: DataFrame,
@@ -100,11 +105,11 @@ def sized_orders(
         .join(held.select(*keys, "security_id", F.col("qty").alias("_held")), [*keys, "security_id"], "left")
     )
     priced = F.col("price") > 0
-    raw = F.when(priced, F.round(F.abs(F.col("delta_weight") * equity) / F.col("price"), 4))
+    raw = F.when(priced, share_step(F.abs(F.col("delta_weight") * equity) / F.col("price")))
     holding = F.coalesce("_held", F.lit(0.0))
     exit_ = (F.col("side") == "SELL") & (F.col("target_weight") <= 0)
     qty = (
-        F.when(F.col("side") == "BUY", F.round(raw * (1 - cash_buffer), 4))
+        F.when(F.col("side") == "BUY", share_step(raw * (1 - cash_buffer)))
         .when(exit_, holding)
         .otherwise(F.least(raw, holding))
     )

@@ -118,8 +118,22 @@ def _(spark, sf):
 @query("look_ahead_rows", """
 SELECT available_at > DATE '1998-06-30' AS is_future, count(*) AS n FROM t_fundamentals GROUP BY 1""")
 def _(spark, sf):
-    late = (F.col("available_at") > F.lit("1998-06-30").cast("date")).alias("is_future")
-    return tb.fundamentals(spark, sf).groupBy(late).agg(F.count(F.lit(1)).alias("n"))
+    rows, day = tb.fundamentals(spark, sf), "1998-06-30"
+    seen = asof.guarded(asof.visible(rows, day), day)
+    late = rows.where(F.col("available_at") > F.lit(day).cast("date"))
+    counted = lambda df, future: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(future).alias("is_future"), "n")
+    return counted(seen, False).unionByName(counted(late, True)).where("n > 0")
+
+
+@query("guarded_statements", """
+SELECT c.date AS as_of_date, f.security_id, arg_max(f.event_time, f.available_at) AS event_time, max(f.available_at) AS available_at
+FROM t_calendar c JOIN t_fundamentals f ON f.available_at <= c.date GROUP BY 1, 2""")
+def _(spark, sf):
+    """The last statement of every date; its plan fails if one is from after its date."""
+    dates = tb.decision_dates(spark, sf)
+    grid = dates.crossJoin(tb.securities(spark, sf).select("security_id"))  # the output's own size
+    found = asof.asof_join(grid, tb.fundamentals(spark, sf).withColumn("_time", F.col("available_at")), ["event_time", "available_at"], time="_time")
+    return asof.guarded(found.where("available_at IS NOT NULL"), F.col("as_of_date")).select("as_of_date", "security_id", "event_time", "available_at")
 
 
 @query("latest_statement", """

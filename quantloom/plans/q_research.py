@@ -92,9 +92,19 @@ for _part in ("research", "holdout"):
         return rounded(pl.factor_summary(spark, sf, part).select("factor", "months", *_SUMMARY))
 
 
-@query("factor_significance")
+# Two-sided p of a normal statistic by Simpson's rule over its tail, ten deviations wide.
+_TAIL = """sqrt(2 / pi()) * 0.005::DOUBLE / 3 * list_sum(list_transform(range(0, 2001), lambda i:
+  (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-power(abs(nw_t_1m) + i * 0.005::DOUBLE, 2) / 2)))"""
+block("t_p_values", f"SELECT *, CASE WHEN isfinite(nw_t_1m) THEN {_TAIL} END AS p_value FROM t_summary_research")
+block("t_q_values", """
+SELECT *, CASE WHEN p_value IS NOT NULL THEN least(min(raw) OVER (ORDER BY p_value IS NULL, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) END AS q_value_bh
+FROM (SELECT *, p_value * count(p_value) OVER () / k AS raw FROM (SELECT *, row_number() OVER (ORDER BY p_value NULLS LAST, factor) AS k FROM t_p_values))
+""")
+
+
+@query("factor_significance", "SELECT factor, round(nw_t_1m, 6) AS nw_t_1m, round(p_value, 6) AS p_value, round(q_value_bh, 6) AS q_value_bh FROM t_q_values")
 def _(spark, sf):
-    """p- and q-values; the error function has no counterpart in the checking SQL."""
+    """p- and q-values, held against numerical integration."""
     return rounded(pl.factor_summary(spark, sf, "research").select("factor", "nw_t_1m", "p_value", "q_value_bh"))
 
 
@@ -112,7 +122,15 @@ def _(spark, sf):
     return rounded(rs.benjamini_hochberg(tests, "p", "q").select("k", "q"))
 
 
-@query("factor_verdicts")
+_LISTED = ", ".join(f"('{n}', '{fam}', {up}, {n in FEATURES})" for n, up, fam in CANDIDATES)
+
+
+@query("factor_verdicts", f"""
+SELECT r.factor, c.family, c.higher_is_better, c.in_strategy, round(r.mean_ic_1m, 6) AS mean_ic_1m, round(r.nw_t_1m, 6) AS nw_t_1m, round(r.q_value_bh, 6) AS q_value_bh,
+  coalesce(r.nw_t_1m > {rs.T_HURDLE}, FALSE) AS passes_t3, round(h.mean_ic_1m, 6) AS holdout_mean_ic_1m, round(h.nw_t_1m, 6) AS holdout_nw_t_1m,
+  CASE WHEN NOT coalesce(r.q_value_bh < 0.10, FALSE) THEN 'NOT_SIGNIFICANT' WHEN NOT coalesce(r.mean_ic_1m > 0, FALSE) THEN 'INVERTED'
+    WHEN coalesce(h.mean_ic_1m > 0 AND h.nw_t_1m >= {rs.HOLDOUT_T}, FALSE) THEN 'ACCEPT' ELSE 'FAILS_HOLDOUT' END AS verdict
+FROM t_q_values r LEFT JOIN t_summary_holdout h ON h.factor = r.factor LEFT JOIN (VALUES {_LISTED}) c(factor, family, higher_is_better, in_strategy) ON c.factor = r.factor""")
 def _(spark, sf):
     return rounded(rs.verdicts(pl.factor_summary(spark, sf, "research"), pl.factor_summary(spark, sf, "holdout"),
                                pl.candidates_table(spark)))

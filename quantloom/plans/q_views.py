@@ -64,11 +64,15 @@ def _(spark, sf):
 
 
 EQUITY = 5_000_000.0
+_step = lambda x: f"floor(({x}) * 10000 + 0.5) / 10000"
+block("t_order_prices", """
+SELECT o.*, b.price_close AS price FROM (SELECT * FROM t_orders WHERE delta <> 0) o
+ASOF LEFT JOIN (SELECT security_id, date, price_close FROM t_bars WHERE price_close IS NOT NULL) b ON b.security_id = o.security_id AND b.date <= o.as_of_date
+""")
 block("t_sized", f"""
 SELECT portfolio_id, as_of_date, security_id, side, qty, qty * price AS est, tgt FROM (
- SELECT *, CASE WHEN price > 0 THEN CASE WHEN side = 'BUY' THEN round(raw * (1 - 0.005), 4) WHEN tgt <= 0 THEN held ELSE least(raw, held) END END AS qty FROM (
-  SELECT o.portfolio_id, o.as_of_date, o.security_id, o.tgt, CASE WHEN o.delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, x.price, round(abs(o.delta * {EQUITY}) / x.price, 4) AS raw, round(o.cur * 3000, 4) AS held
-  FROM t_orders o LEFT JOIN (SELECT security_id, arg_max(price_close, date) AS price FROM t_bars WHERE date >= DATE '2001-10-31' GROUP BY 1) x USING (security_id) WHERE o.delta <> 0))
+ SELECT *, CASE WHEN price > 0 THEN CASE WHEN side = 'BUY' THEN {_step('raw * (1 - 0.005::DOUBLE)')} WHEN tgt <= 0 THEN held ELSE least(raw, held) END END AS qty FROM (
+  SELECT portfolio_id, as_of_date, security_id, tgt, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, price, {_step(f'abs(delta * {EQUITY}::DOUBLE) / price')} AS raw, {_step('cur * 3000')} AS held FROM t_order_prices))
 """)
 
 
@@ -77,7 +81,7 @@ def sized(spark, sf):
     wanted = orders(spark, sf)
     known = tb.bars(spark, sf).where("price_close is not null").select("security_id", "date", F.col("price_close").alias("price"))
     prices = asof_join(wanted.select("security_id", "as_of_date").distinct(), known, ["price"], time="date")
-    held = current_weights(spark, sf).withColumn("qty", F.round(F.col("weight") * 3000, 4))
+    held = current_weights(spark, sf).withColumn("qty", bk.share_step(F.col("weight") * 3000))
     return bk.sized_orders(wanted, prices, held, KEYS, EQUITY)
 
 
@@ -89,10 +93,8 @@ def _(spark, sf):
     return bk.pre_trade_checks(sized(spark, sf), KEYS, max_orders=15, proposals=orders(spark, sf))
 
 
-@query("sized_orders")
+@query("sized_orders", "SELECT portfolio_id, as_of_date, security_id, side, round(qty, 4) AS qty FROM t_sized WHERE est IS NULL OR est >= 25")
 def _(spark, sf):
-    """Rows only: the two engines round exact decimal ties of doubles differently, and the
-    rules round twice. The sizes are tested on a fixture and through ``pre_trade_checks``."""
     from quantloom.operators.portfolio import sells_first
 
     return rounded(sells_first(sized(spark, sf)).select(*KEYS, "security_id", "side", "qty"), 4)

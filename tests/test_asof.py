@@ -4,6 +4,7 @@ from datetime import date, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quantloom.operators import asof, calendar as cal, fundamentals as fu, intervals as iv
 
@@ -128,3 +129,42 @@ def test_a_fact_without_a_time_is_never_visible(spark):
     got = {(r.security_id, r.as_of_date.month): r.v for r in asof.asof_join(asked, facts, ["v"]).collect()}
     assert got == {("A", 1): None, ("A", 2): 1.0, ("B", 1): None, ("B", 2): None}
     assert asof.latest_as_of(facts, "2024-01-31").count() == 0
+
+
+def test_a_guarded_plan_fails_the_job_that_reads_it(spark):
+    """Nothing is checked until rows are read; then the first row from after its date ends the job."""
+    rows = [(1, date(2024, 1, 10), date(2024, 1, 31)), (2, date(2024, 1, 31), date(2024, 1, 31)), (3, date(2024, 2, 1), date(2024, 1, 31))]
+    df = spark.createDataFrame(rows, "security_id long, available_at date, as_of_date date")
+    fine = asof.guarded(df.where("security_id < 3"), F.col("as_of_date")).groupBy("as_of_date").agg(F.count(F.lit(1)).alias("n"))
+    assert fine.first().n == 2
+    late = asof.guarded(df, "2024-01-31").groupBy("as_of_date").agg(F.count(F.lit(1)).alias("n"))
+    with pytest.raises(Exception, match="look-ahead: available_at 2024-02-01 is not known at 2024-01-31"):
+        late.collect()
+    unknown = asof.guarded(spark.createDataFrame([(1, None)], "security_id long, available_at date"), "2024-01-31")
+    with pytest.raises(Exception, match="look-ahead: available_at unknown"):
+        unknown.count()
+
+
+def test_the_registered_guard_fails_on_a_leak(spark, monkeypatch):
+    """The query itself ends if the join it reads from lets the future through."""
+    from quantloom.plans import q_market
+    from quantloom.plans.catalog import QUERIES
+
+    grid = spark.createDataFrame([(date(2024, 1, 31), 1)], "as_of_date date, security_id long")
+    monkeypatch.setattr(q_market.tb, "decision_dates", lambda *_: grid.select("as_of_date"))
+    monkeypatch.setattr(q_market.tb, "securities", lambda *_: grid.select("security_id"))
+    leak = [date(2024, 1, 20)]
+
+    def facts(*_):
+        return spark.createDataFrame([(1, date(2023, 12, 31), leak[0])], "security_id long, event_time date, available_at date")
+
+    def joined(queries, facts, values, **_):
+        return queries.join(facts, "security_id")
+
+    monkeypatch.setattr(q_market.tb, "fundamentals", facts)
+    monkeypatch.setattr(q_market.asof, "asof_join", joined)
+    query = QUERIES["guarded_statements"]
+    assert query(spark, "").first().available_at == leak[0]
+    leak[0] = date(2024, 2, 1)
+    with pytest.raises(Exception, match="look-ahead"):
+        query(spark, "").collect()
