@@ -341,16 +341,14 @@ def style_tree(pages: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("kind") == "s", x)).alias("_xs"),
         F.sum(F.when(F.col("kind") == "c", F.log("n"))).alias("_xc"),
         F.count(F.when(F.col("kind") == "c", 1)).alias("_texts"),
+        F.collect_list(F.when((F.col("kind") == "t") & (F.col("n") >= LEAST_PAGES), F.struct("n", "feature"))).alias("often"),
     )
     base = F.log(F.col("pages"))
     one = F.col("pages") < 2
-    often = counted.where((F.col("kind") == "t") & (F.col("n") >= LEAST_PAGES))
-    often = often.groupBy("host", "path").agg(F.collect_list(F.struct("n", "feature")).alias("often"))
-    sums = sums.join(often, ["host", "path"], "left")
     # Texts on most pages that have the node: as content of their own they are the same everywhere.
     texts = F.transform(F.filter("often", lambda t: t["n"] >= MOST * F.col("pages")), lambda t: t["feature"])
     return sums.select(
-        "host", "path", "pages", "_texts", F.coalesce(texts, F.array().cast("array<bigint>")).alias("texts"),
+        "host", "path", "pages", "_texts", texts.alias("texts"),
         F.when(one, 1.0).otherwise((base - F.col("_xs") / F.col("pages")) / base).alias("presentation"),
         F.when(one | (F.col("_texts") == 0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("_xc") / F.col("_texts") / base)).alias("content"),
     )
@@ -382,7 +380,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     repeated pages have a row each; an empty table gives none; other columns are not read.
     """
     held = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    low = staged(low_branches(style_tree(held.select("host", "html"))), "site-tree").withColumnRenamed("host", "_host")
+    tree = staged(style_tree(held.select("host", "html")), "style-tree")
+    low = staged(low_branches(tree), "site-tree").withColumnRenamed("host", "_host")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
