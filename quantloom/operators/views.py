@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,3 +127,49 @@ def securities_list(securities: DataFrame, prices: DataFrame) -> DataFrame:
     return flagged.select(
         "security_id", "ticker", "sector_id", F.coalesce("_p", F.lit(False)).alias("has_prices")
     )
+
+
+def model_portfolio(weights: DataFrame, contributions: DataFrame, signals: DataFrame, securities: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Holdings of every model portfolio with their signal and their share of its risk."""
+    keys = list(keys)
+    shares = contributions.select(*keys, "security_id", "risk_contribution")
+    marks = signals.select("as_of_date", "security_id", "decision", "composite_score", "volatility_63d")
+    named = weights.join(securities.select("security_id", "ticker", "sector_id"), "security_id")
+    return named.join(shares, [*keys, "security_id"], "left").join(marks, ["as_of_date", "security_id"], "left")
+
+
+def portfolio_overview(weights: DataFrame, actions: DataFrame, report: DataFrame, breaches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row a portfolio: holdings, cash, what risk limits changed, risk and the limits still broken.
+    ``actions``: keys and an array ``actions``."""
+    keys = list(keys)
+    held = weights.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_holdings"), (1.0 - F.sum("weight")).alias("cash_weight"))
+    broken = breaches.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set("code")), ",").alias("breaches"))
+    out = held.join(actions.select(*keys, "actions"), keys, "left").join(report, keys, "left").join(broken, keys, "left")
+    return out.withColumn("breaches", F.coalesce("breaches", F.lit(""))).withColumn("actions", F.array_join("actions", ","))
+
+
+def proposal_summary(orders: DataFrame, before: DataFrame, after: DataFrame, costs: DataFrame, alerts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row a proposal: turnover, cost, orders, risk of the book as it is and as it would be, alerts.
+
+    ``before`` and ``after`` are risk reports, ``costs`` has keys and estimated_cost_usd. A book that does
+    not exist yet has no risk before; proposals without alerts count none.
+    """
+    keys = list(keys)
+    plan = orders.groupBy(*keys).agg(
+        F.sum(F.abs("delta_weight")).alias("estimated_turnover"), F.max("turnover_capped").alias("turnover_capped"),
+        F.count_if(F.col("side") != "HOLD").alias("n_orders"),
+    )
+    measures = ("gross_exposure", "herfindahl", "volatility_annual", "var_95_daily", "beta")
+    risk = lambda df, when: df.select(*keys, *(F.col(c).alias(f"{c}_{when}") for c in measures))
+    counted = alerts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_alerts"))
+    out = plan.join(costs, keys, "left").join(risk(before, "before"), keys, "left").join(risk(after, "after"), keys, "left").join(counted, keys, "left")
+    return out.withColumn("n_alerts", F.coalesce("n_alerts", F.lit(0))).withColumn("status", F.lit("PENDING_APPROVAL"))
+
+
+def ticker_report(analysis: DataFrame, weights: DataFrame) -> DataFrame:
+    """What a report on a security says of every date: whether and why it is not scored, its decision
+    and percentile, and its weight in the model portfolio (null where not held)."""
+    held = weights.select("as_of_date", "security_id", F.col("weight").alias("model_weight"))
+    scored = F.col("eligible") & F.col("decision").isNotNull()
+    reason = F.when(F.size("ineligibility_reasons") > 0, F.array_join("ineligibility_reasons", ", ")).otherwise("insufficient fundamental coverage")
+    return analysis.join(held, ["as_of_date", "security_id"], "left").withColumn("not_scored", F.when(~scored, reason))
