@@ -452,12 +452,13 @@ def _(spark, sf):
         "cumulative_return", "log_growth"), 5)
 
 
-@query("window_statistics", """
-SELECT portfolio_id, round(avg(ret - benchmark_return) / stddev_samp(ret - benchmark_return) * sqrt(12), 5) AS information_ratio,
-  round(avg(ret - benchmark_return) * 12, 5) AS active_return_annualized FROM t_attr_bench GROUP BY 1""")
+@query("window_statistics", f"""
+SELECT s.*, i.information_ratio, i.active_return_annualized FROM ({perf_sql("t_attr_bench", "portfolio_id")}) s JOIN (
+  SELECT portfolio_id, round(avg(ret - benchmark_return) / stddev_samp(ret - benchmark_return) * sqrt(12), 5) AS information_ratio,
+    round(avg(ret - benchmark_return) * 12, 5) AS active_return_annualized FROM t_attr_bench GROUP BY 1) i USING (portfolio_id)""")
 def _(spark, sf):
     stats = pf.window_stats(with_benchmark(spark, sf, attributed(spark, sf)), ["portfolio_id"], "pos", 12)
-    return rounded(stats.select("portfolio_id", "information_ratio", "active_return_annualized"), 5)
+    return rounded(stats.withColumn("cumulative_return", F.log1p("cumulative_return")).withColumnRenamed("cumulative_return", "log_growth"), 5)
 
 
 @query("portfolio_beta", "SELECT portfolio_id, round(covar_samp(ret, benchmark_return) / var_samp(benchmark_return), 6) AS beta FROM t_attr_bench GROUP BY 1")
@@ -549,13 +550,13 @@ def _(spark, sf):
 
 
 @query("proposal_orders", """
-SELECT portfolio_id, as_of_date, o.security_id, round(delta * 1000000, 2) AS estimated_notional_usd, s.ticker,
-  CASE WHEN g.decision IS NOT NULL THEN 'scored' ELSE 'unscored' END AS status
-FROM t_orders o JOIN t_securities s ON s.security_id = o.security_id LEFT JOIN t_signals g USING (as_of_date, security_id) WHERE trades OR tgt <> cur""".replace(
-    "LEFT JOIN t_signals g USING (as_of_date, security_id)", "LEFT JOIN t_signals g ON g.as_of_date = o.as_of_date AND g.security_id = o.security_id").replace(
-    "SELECT portfolio_id, as_of_date,", "SELECT portfolio_id, o.as_of_date,"))
+SELECT o.portfolio_id, o.as_of_date, o.security_id, round(delta * 1000000, 2) AS estimated_notional_usd, round(abs(delta) * 800, 4) AS estimated_cost_usd, s.ticker, g.decision,
+  CASE WHEN is_entry THEN 'NEW_POSITION' WHEN is_exit THEN 'EXIT_POSITION' WHEN trades AND tgt > cur THEN 'INCREASE_TO_TARGET' WHEN trades AND tgt < cur THEN 'DECREASE_TO_TARGET' ELSE 'WITHIN_TRADE_BAND' END AS reason,
+  CASE WHEN g.decision IS NULL THEN 'Fuera del universo elegible' ELSE 'Señal ' || g.decision || ' (score' END AS signal
+FROM t_orders o JOIN t_securities s ON s.security_id = o.security_id LEFT JOIN t_signals g ON g.as_of_date = o.as_of_date AND g.security_id = o.security_id WHERE trades OR tgt <> cur""")
 def _(spark, sf):
     nav = orders(spark, sf).withColumn("nav", F.lit(1_000_000.0))
     shown = po.proposal_orders(nav, pl.signals(spark, sf), tb.securities(spark, sf), KEYS, tb.STRATEGY.costs)
-    status = F.when(F.col("decision").isNotNull(), "scored").otherwise("unscored").alias("status")
-    return rounded(shown.select(*KEYS, "security_id", "estimated_notional_usd", "ticker", status), 2)
+    text = F.regexp_replace(F.get("reasons", F.lit(1)), r" [0-9.]+\)$", "").alias("signal")  # the score's rounding apart
+    columns = ("estimated_notional_usd", "estimated_cost_usd", "ticker", "decision", F.get("reasons", F.lit(0)).alias("reason"), text)
+    return rounded(shown.select(*KEYS, "security_id", *columns), 2, estimated_cost_usd=4)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,8 +69,25 @@ def write_report(tables: Mapping[str, DataFrame], path: str, mode: str = "errori
         df.select(*flat).write.mode(mode).option("header", True).csv(f"{path}/{name}")
 
 
-def write_json_by_key(df: DataFrame, key: str, path: str, mode: str = "errorifexists") -> None:
-    """One JSON document per row, in a directory per key. The key is hashed first, so each
-    directory is written by one task and a hot key cannot collect others."""
-    body = df.select(key, F.to_json(F.struct(*[c for c in df.columns])).alias("value"))
-    body.repartition(key).write.mode(mode).partitionBy(key).text(path)
+def write_keyed_json(df: DataFrame, key: str, path: str, file_rows: int = 100_000, mode: str = "errorifexists") -> None:
+    """One JSON document per row in files of at most ``file_rows``, in order of the key, and an index
+    with each file's smallest and largest key and its rows. Files follow the data's size, not the
+    number of keys. Rows without a key come first and are found by reading the whole."""
+    spark, docs = df.sparkSession, f"{path}/documents"
+    ordered = df.repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first())
+    ordered.write.mode(mode).option("maxRecordsPerFile", file_rows).json(docs)
+    written = spark.read.schema(df.schema).json(docs).select(key, F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
+    index = written.groupBy("file").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count(F.lit(1)).alias("rows"))
+    index.write.mode(mode).parquet(f"{path}/index")
+
+
+def read_keyed_json(spark: SparkSession, path: str, key: str, schema, keys: Sequence | None = None) -> DataFrame:
+    """The documents, or those of ``keys``: then only files whose range holds one of them are opened."""
+    docs = f"{path}/documents"
+    if keys is None:
+        return spark.read.schema(schema).json(docs)
+    wanted = F.array(*map(F.lit, keys))
+    near = spark.read.parquet(f"{path}/index").where(F.exists(wanted, lambda k: (k >= F.col("first")) & (k <= F.col("last"))))
+    files = [f"{docs}/{r.file}" for r in near.select("file").collect()]  # at most a file a key asked
+    found = spark.read.schema(schema).json(files) if files else spark.createDataFrame([], schema)
+    return found.where(F.col(key).isin(list(keys)))
