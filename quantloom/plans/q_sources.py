@@ -11,6 +11,7 @@ from quantloom.functions import scalars as sc
 from quantloom.operators import intervals as iv
 from quantloom.plans import pipeline as pl, testbed as tb
 from quantloom.plans.oracle import block
+from quantloom.plans.q_market import rs as rnd
 from quantloom.plans.registry import query, rounded, staged
 from quantloom.sources import contracts, sic, text, xbrl
 
@@ -29,6 +30,14 @@ UNION ALL SELECT security_id, 'us-gaap', 'CostOfGoodsSold', 'USD', CAST(date_tru
 UNION ALL SELECT security_id, 'us-gaap', 'NetIncomeLoss', 'USD', {_YEAR}, event_time, income_ytd, available_at, '10-Q' FROM t_ytd
 UNION ALL SELECT security_id, 'us-gaap', 'NetCashProvidedByUsedInOperatingActivities', 'USD', {_YEAR}, event_time, cash_ytd, available_at + 2, '10-Q' FROM t_ytd
 UNION ALL SELECT security_id, 'us-gaap', 'PaymentsToAcquireProductiveAssets', 'USD', CAST(date_trunc('quarter', event_time) AS DATE), event_time, ebitda, available_at, '8-K' FROM t_fundamentals WHERE security_id % 3 = 0
+UNION ALL SELECT security_id, 'us-gaap', 'PaymentsToAcquirePropertyPlantAndEquipment', 'USD', CAST(date_trunc('quarter', event_time) AS DATE), event_time, revenue * 4, available_at, '10-Q' FROM t_fundamentals WHERE security_id % 6 = 0
+UNION ALL SELECT security_id, 'us-gaap', 'OperatingIncomeLoss', 'USD', CAST(date_trunc('quarter', event_time) AS DATE), event_time, ebitda - revenue, available_at, '10-Q' FROM t_fundamentals
+UNION ALL SELECT security_id, 'us-gaap', 'Depreciation', 'USD', CAST(date_trunc('quarter', event_time) AS DATE), event_time, revenue * 2, available_at + 3, '10-Q' FROM t_fundamentals
+UNION ALL SELECT security_id, 'us-gaap', 'DepreciationAndAmortization', 'USD', CAST(date_trunc('quarter', event_time) AS DATE), event_time, revenue * 3, available_at, '10-Q' FROM t_fundamentals WHERE security_id % 4 = 0
+UNION ALL SELECT security_id, 'us-gaap', 'GrossProfit', 'USD', CAST(date_trunc('quarter', event_time) AS DATE), event_time, gross_profit + 2, available_at, '10-Q' FROM t_fundamentals WHERE security_id % 5 = 0
+UNION ALL SELECT security_id, 'us-gaap', 'LongTermDebt', 'USD', NULL, event_time, invested_capital * 2, available_at, '10-Q' FROM t_fundamentals WHERE security_id % 2 = 0
+UNION ALL SELECT security_id, 'us-gaap', 'LongTermDebtCurrent', 'USD', NULL, event_time - CAST(security_id % 9 AS INTEGER), invested_capital * 3, available_at, '10-Q' FROM t_fundamentals WHERE security_id % 4 = 0
+UNION ALL SELECT security_id, 'us-gaap', 'CommercialPaper', 'USD', NULL, event_time, invested_capital * 5, available_at, '10-Q' FROM t_fundamentals WHERE security_id % 7 = 0
 UNION ALL SELECT security_id, 'us-gaap', 'StockholdersEquity', 'USD', NULL, event_time, invested_capital, available_at, '10-Q' FROM t_fundamentals
 UNION ALL SELECT security_id, 'us-gaap', 'Cash', 'USD', NULL, event_time + CAST(security_id % 10 AS INTEGER), net_debt, available_at + 1, '10-Q' FROM t_fundamentals
 """)
@@ -49,7 +58,10 @@ block("t_lines_by_measure", """
 SELECT f.security_id, m.measure, f.e, arg_min(f.value, m.p) AS value, arg_min(f.available_at, m.p) AS available_at
 FROM (SELECT security_id, concept, e, value, available_at FROM t_flows UNION ALL SELECT security_id, concept, e, val, filed FROM t_first_filed WHERE s IS NULL) f
 JOIN (VALUES ('revenue', 'Revenues', 0), ('cost', 'CostOfRevenue', 0), ('cost', 'CostOfGoodsSold', 2), ('income', 'NetIncomeLoss', 0),
-      ('cash_flow', 'NetCashProvidedByUsedInOperatingActivities', 0), ('equity', 'StockholdersEquity', 0), ('cash', 'Cash', 2)) m(measure, concept, p) ON m.concept = f.concept
+      ('cash_flow', 'NetCashProvidedByUsedInOperatingActivities', 0), ('equity', 'StockholdersEquity', 0), ('cash', 'Cash', 2),
+      ('gross', 'GrossProfit', 0), ('operating', 'OperatingIncomeLoss', 0), ('depreciation', 'DepreciationAndAmortization', 2), ('depreciation', 'Depreciation', 3),
+      ('capex', 'PaymentsToAcquirePropertyPlantAndEquipment', 0), ('capex', 'PaymentsToAcquireProductiveAssets', 1),
+      ('long_debt', 'LongTermDebt', 0), ('current_debt', 'LongTermDebtCurrent', 1), ('borrowings', 'CommercialPaper', 1)) m(measure, concept, p) ON m.concept = f.concept
 GROUP BY 1, 2, 3
 """)
 
@@ -59,11 +71,15 @@ def near(measure: str, column: str) -> str:
             "ORDER BY abs(x.e - b.e), x.e LIMIT 1)")
 
 
+_ITEMS = ("revenue", "gross", "cost", "operating", "depreciation", "income", "cash_flow", "capex", "equity", "cash", "long_debt", "current_debt", "borrowings")
+# Who ever reports capital expenditure, in whatever form, needs it; for all others none is none.
 block("t_statements", f"""
-SELECT security_id, e AS event_time, greatest({", ".join(f"{m}_at" for m in ("revenue", "cost", "income", "cash_flow", "equity", "cash"))}) AS available_at,
-  revenue, revenue - cost AS gross_profit, income AS net_income, CASE WHEN security_id % 3 = 0 THEN NULL ELSE cash_flow END AS free_cash_flow, equity - coalesce(cash, 0) AS invested_capital
-FROM (SELECT b.security_id, b.e, {", ".join(f"{near(m, 'value')} AS {m}, {near(m, 'available_at')} AS {m}_at" for m in ("revenue", "cost", "income", "cash_flow", "equity", "cash"))}
-      FROM (SELECT security_id, e FROM t_lines_by_measure WHERE measure = 'revenue') b)
+SELECT security_id, e AS event_time, greatest({", ".join(f"{m}_at" for m in _ITEMS)}) AS available_at, revenue, coalesce(gross, revenue - cost) AS gross_profit,
+  operating + depreciation AS ebitda, income AS net_income, cash_flow - CASE WHEN security_id % 3 = 0 THEN capex ELSE 0 END AS free_cash_flow,
+  equity + coalesce(debt, 0) - coalesce(cash, 0) AS invested_capital, debt - coalesce(cash, 0) AS net_debt
+FROM (SELECT *, CASE WHEN coalesce(long_debt, current_debt, borrowings) IS NOT NULL THEN coalesce(long_debt, 0) + coalesce(current_debt, 0) + coalesce(borrowings, 0) END AS debt FROM (
+  SELECT b.security_id, b.e, {", ".join(f"{near(m, 'value')} AS {m}, {near(m, 'available_at')} AS {m}_at" for m in _ITEMS)}
+  FROM (SELECT security_id, e FROM t_lines_by_measure WHERE measure = 'revenue') b))
 """)
 
 
@@ -82,6 +98,7 @@ def fact_table(spark, sf) -> DataFrame:
         return part.select("security_id", F.lit("us-gaap").alias("taxonomy"), F.lit(concept).alias("concept"), F.lit("USD").alias("unit"),
                            start.alias("start"), end.alias("end"), value.alias("val"), at.alias("filed"), form.alias("form"))
 
+    # Whole multiples keep the four decimals of the amounts, so no check rounds a tie.
     ten_q = F.lit("10-Q")
     parts = [
         rows("Revenues", quarter, F.col("revenue"), ten_q, q < 4),
@@ -92,6 +109,14 @@ def fact_table(spark, sf) -> DataFrame:
         rows("NetIncomeLoss", ytd, F.col("net_income_ytd"), ten_q),
         rows("NetCashProvidedByUsedInOperatingActivities", ytd, F.col("free_cash_flow_ytd"), ten_q, at=F.date_add(filed, 2)),
         rows("PaymentsToAcquireProductiveAssets", quarter, F.col("ebitda"), F.lit("8-K"), sid % 3 == 0),
+        rows("PaymentsToAcquirePropertyPlantAndEquipment", quarter, F.col("revenue") * 4, ten_q, sid % 6 == 0),
+        rows("OperatingIncomeLoss", quarter, F.col("ebitda") - F.col("revenue"), ten_q),
+        rows("Depreciation", quarter, F.col("revenue") * 2, ten_q, at=F.date_add(filed, 3)),
+        rows("DepreciationAndAmortization", quarter, F.col("revenue") * 3, ten_q, sid % 4 == 0),
+        rows("GrossProfit", quarter, F.col("gross_profit") + 2, ten_q, sid % 5 == 0),
+        rows("LongTermDebt", none, F.col("invested_capital") * 2, ten_q, sid % 2 == 0),
+        rows("LongTermDebtCurrent", none, F.col("invested_capital") * 3, ten_q, sid % 4 == 0, end=F.date_sub("event_time", (sid % 9).cast("int"))),
+        rows("CommercialPaper", none, F.col("invested_capital") * 5, ten_q, sid % 7 == 0),
         rows("StockholdersEquity", none, F.col("invested_capital"), ten_q),
         rows("Cash", none, F.col("net_debt"), ten_q, end=F.date_add("event_time", (sid % 10).cast("int")), at=F.date_add(filed, 1)),
     ]
@@ -144,12 +169,13 @@ def _(spark, sf):
     return rounded(xbrl.instant_values(kept).drop("unit"), 4)
 
 
-@query("company_statements", """
-SELECT security_id, event_time, available_at, round(revenue, 4) AS revenue, round(gross_profit, 4) AS gross_profit, round(net_income, 4) AS net_income,
-  round(free_cash_flow, 4) AS free_cash_flow, round(invested_capital, 4) AS invested_capital FROM t_statements WHERE available_at IS NOT NULL""")
+_LINES = ("revenue", "gross_profit", "ebitda", "net_income", "free_cash_flow", "invested_capital", "net_debt")
+
+
+@query("company_statements", f"SELECT security_id, event_time, available_at, {rnd(*_LINES, digits=4)} FROM t_statements WHERE available_at IS NOT NULL")
 def _(spark, sf):
     df = xbrl.statements(facts(spark, sf))
-    return rounded(df.select("security_id", "event_time", "available_at", "revenue", "gross_profit", "net_income", "free_cash_flow", "invested_capital"), 4)
+    return rounded(df.select("security_id", "event_time", "available_at", *_LINES), 4)
 
 
 @query("company_share_counts", "SELECT security_id, available_at, shares_outstanding FROM t_shares")
