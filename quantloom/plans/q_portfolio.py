@@ -534,19 +534,31 @@ def _(spark, sf):
     return rounded(pf.best_config(scores, "sharpe"), 5)
 
 
+block("t_last_quotes", "SELECT security_id, max(pos) AS last_pos FROM t_prices WHERE close IS NOT NULL GROUP BY 1 HAVING max(pos) < (SELECT max(pos) FROM t_calendar)")
+
+
 @query("backtest_totals", """
-SELECT o.portfolio_id, round(avg(CASE WHEN k > 1 THEN turnover END), 6) AS avg_turnover_per_rebalance, count(*) AS n_rebalances,
-  round(sum(turnover) * 800, 3) AS total_costs_usd, CAST(0 AS BIGINT) AS delisted_liquidations,
-  (SELECT round(avg(n), 6) FROM (SELECT count(*) AS n FROM t_share_weights w WHERE w.portfolio_id = o.portfolio_id GROUP BY as_of_date)) AS avg_holdings
+SELECT o.portfolio_id, round(avg(CASE WHEN k > 1 THEN turnover END), 6) AS avg_turnover_per_rebalance, count(*) AS n_rebalances, round(sum(turnover) * 800, 3) AS total_costs_usd,
+  (SELECT count(*) FROM t_orders x JOIN t_calendar c ON c.date = x.as_of_date JOIN t_last_quotes q USING (security_id) WHERE x.portfolio_id = o.portfolio_id AND x.delta < 0 AND q.last_pos <= c.pos) AS delisted_liquidations,
+  (SELECT round(avg(n), 6) FROM (SELECT count(*) AS n FROM t_share_weights w WHERE w.portfolio_id = o.portfolio_id GROUP BY as_of_date)) AS avg_holdings,
+  (SELECT count(*) FROM t_orders x JOIN t_calendar c ON c.date = x.as_of_date LEFT JOIN t_grid g ON g.security_id = x.security_id AND g.pos = c.pos + 1 WHERE x.portfolio_id = o.portfolio_id AND x.delta <> 0 AND g.open IS NULL) AS unfilled_orders,
+  (SELECT round(avg(volatility_annual), 6) FROM t_report r WHERE r.portfolio_id = o.portfolio_id) AS avg_ex_ante_volatility,
+  (SELECT round(avg(gross_exposure), 6) FROM t_report r WHERE r.portfolio_id = o.portfolio_id) AS avg_gross_exposure,
+  (SELECT count(DISTINCT as_of_date) FROM t_breaches b WHERE b.portfolio_id = o.portfolio_id) AS rebalances_with_risk_breaches
 FROM (SELECT portfolio_id, as_of_date, sum(abs(delta)) AS turnover, row_number() OVER (PARTITION BY portfolio_id ORDER BY as_of_date) AS k FROM t_orders GROUP BY 1, 2) o GROUP BY 1""")
 def _(spark, sf):
-    plans = orders(spark, sf)
+    """A sale of a name after its last quote is a liquidation."""
+    plans, days = orders(spark, sf), tb.calendar(spark, sf)
     priced = po.order_costs(plans, F.lit(1_000_000.0), 1.0, 2.0, 5.0)
-    trades = priced.select("portfolio_id", "side", F.col("estimated_cost_usd").alias("cost_usd"))
+    gone = se.last_quotes(tb.prices(spark, sf), days).select("security_id", "last_pos")
+    dated = priced.join(days.select(F.col("date").alias("as_of_date"), "pos"), "as_of_date").join(gone, "security_id", "left")
+    side = F.when((F.col("side") == "SELL") & (F.col("last_pos") <= F.col("pos")), "DELISTED_SELL").otherwise(F.col("side"))
+    trades = dated.select("portfolio_id", side.alias("side"), F.col("estimated_cost_usd").alias("cost_usd"))
     rebalances = po.plan_summary(plans, KEYS).select(
         "portfolio_id", F.col("as_of_date").alias("signal_date"), F.col("turnover").alias("planned_turnover"))
     holdings = share_weights(spark, sf).withColumnRenamed("as_of_date", "date")
-    return rounded(pf.backtest_totals(trades, rebalances, holdings), 6, total_costs_usd=3)
+    missed = po.unfilled_orders(plans, tb.grid(spark, sf), days)
+    return rounded(pf.backtest_totals(trades, rebalances, holdings, missed, risk_tables(spark, sf)[1], breaches(spark, sf)), 6, total_costs_usd=3)
 
 
 @query("proposal_orders", """
