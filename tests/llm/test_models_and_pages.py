@@ -133,6 +133,24 @@ def test_neighbours_against_brute_force(spark):
     assert posting_lists.neighbours(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["tight", "spread", "tailed"])
+def test_neighbours_of_lonely_and_far_vectors(spark, kind):
+    """Queries that sit on a centroid, in groups smaller than k or far out find what is nearest too."""
+    rng = np.random.default_rng(8)
+    if kind == "tight":  # groups of 6 of very different width, close in pairs
+        centres = np.repeat(rng.standard_normal((300, 8)), 2, 0) + 0.05 * rng.standard_normal((600, 8))
+        data = centres[np.arange(3600) % 600] + 10.0 ** rng.uniform(-6, 0, (3600, 1)) * rng.standard_normal((3600, 8))
+    elif kind == "spread":
+        data = rng.standard_normal((3600, 8)) * np.exp(rng.standard_normal(8) * 2)
+    else:
+        data = rng.standard_normal((3600, 8)) * np.exp(2 * rng.standard_normal((3600, 1)))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    got = {}
+    for r in sorted(posting_lists.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert got == brute(rows, 100, 10)
+
+
 def test_boundary_vectors_are_replicated():
     graph = posting_lists.Graph(np.array([[0.0, 0.0], [2.0, 0.0], [9.0, 9.0]]))
     assert sorted(graph.lists(np.array([[1.0, 0.1]]))[0]) == [0, 1]
