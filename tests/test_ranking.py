@@ -87,3 +87,35 @@ def test_small_sector_falls_back_to_universe(spark):
     df = spark.createDataFrame(rows, "day int, sid long, sector string, x double")
     got = {r.sid: r.pct for r in cs.winsorized_percentiles(df, ["day"], "x", "sector").collect()}
     assert max(got, key=got.get) == 9 or got[9] == max(got.values())
+
+
+def moved_rows(df):
+    """How many shuffles of the plan carry ``sid``, that is, the rows and not counts of them."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    df.collect()
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    assert "sid" in plan
+    return sum("Exchange hashpartitioning" in a and "sid#" in " ".join(lines[i + 1 : i + 3]) for i, a in enumerate(lines))
+
+
+def test_percentiles_move_the_rows_once(spark, sample):
+    """Ranks of distinct values were joined back to the rows, with a shuffle of both for each join."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        long = to_spark(spark, sample).where("x is not null")
+        assert moved_rows(cs.winsorized_percentiles(long, ["day"], "x", "sector")) == 1
+        assert moved_rows(rk.first_rank(long, ["day"], "x", "sid", "r")) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rank_correlation_matches_pandas(spark, sample):
+    from quantloom.operators import research as rs
+
+    frame = sample.assign(y=(sample["sid"] * 7919 % 101) / 7.0)
+    rows = [(int(r.day), int(r.sid), None if pd.isna(r.x) else float(r.x), float(r.y)) for r in frame.itertuples()]
+    df = spark.createDataFrame(rows, "day int, sid long, x double, y double")
+    got = {r.day: r.ic for r in rs.spearman(df, ["day"], "x", "y", 10).collect()}
+    known = frame.dropna(subset=["x"])
+    for day, g in known.groupby("day"):
+        assert abs(got[day] - g["x"].rank().corr(g["y"].rank())) < 1e-12
