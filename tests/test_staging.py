@@ -27,3 +27,25 @@ def test_candle_sums_round_an_exact_half_up(spark, monkeypatch):
     monkeypatch.setattr(q_market.tb, "bars", lambda spark, sf: bars)
     monkeypatch.setattr(se, "display_bars", lambda bars: bars)
     assert QUERIES["columnar_candles"](spark, "").first()["close_sum"] == 11763.0
+
+
+def test_a_snapshot_stages_no_bars(spark):
+    """Bars are only read for the features; writing them again is work for nothing."""
+    from pyspark.sql import functions as F
+
+    from quantloom.config import MONTHLY
+    from quantloom.operators import fundamentals as fu
+
+    days = spark.range(6).select(F.col("id").alias("pos"), F.last_day(F.add_months(F.lit("2024-01-31").cast("date"), F.col("id").cast("int"))).alias("date"))
+    prices = {c: F.lit(10.0) + F.col("pos") for c in ("open", "high", "low", "close", "price_close", "volume")}
+    grid = days.withColumns({"security_id": F.lit(1).cast("long"), **prices})
+    securities = spark.createDataFrame([(1, "T1", "a", "b")], "security_id long, ticker string, sector_id string, industry_id string")
+    staged = []
+
+    def materialize(df):
+        staged.append(set(df.columns))
+        return df
+
+    got = fu.feature_snapshot(grid, securities, days.select(F.col("date").alias("as_of_date")), bars=MONTHLY, materialize=materialize)
+    assert staged and not staged[0] & {"open", "high", "low", "close", "price_close", "volume", "ret", "pos"}
+    assert [round(r.price) for r in got.orderBy("as_of_date").collect()] == [10, 11, 12, 13, 14, 15]
