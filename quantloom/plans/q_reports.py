@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantloom.config import FAMILIES
-from quantloom.operators import enforcement as en, portfolio as po, risk as rk, views as vw
+from quantloom.operators import enforcement as en, portfolio as po, risk as rk, series as se, views as vw
 from quantloom.operators.crosssection import with_eligibility
 from quantloom.plans import pipeline as pl, testbed as tb
 from quantloom.plans import q_enforcement as qe, q_portfolio as qp
@@ -39,8 +39,13 @@ UNION ALL SELECT portfolio_id, as_of_date, 'RISK_CONTRIBUTION' FROM t_mp_contrib
 
 def risk_of(spark, sf, name, weights):
     """Staged report and contributions of a weights table (keys, security_id, weight)."""
-    window = staged(spark, sf, f"{name}_window", lambda: qp.risk_window(spark, sf, weights))
-    report, shares = rk.risk_report(weights, window, qp.risk_index(spark, sf, window), KEYS, periods=12)
+    held = weights.select(*KEYS, "security_id", "weight")
+    days, returns = tb.calendar(spark, sf), pl.returns(spark, sf)
+    named = staged(spark, sf, f"{name}_names", lambda: rk.name_moments(rk.held_windows(returns, held, days, qp.LOOKBACK)))
+    scalars = staged(spark, sf, f"{name}_scalars", lambda: rk.shrinkage(named, rk.window_sums(named, KEYS), KEYS))
+    report, shares = rk.windows_report(
+        named, scalars, se.equal_weight_returns(returns), KEYS, periods=12,
+        materialize=lambda df: staged(spark, sf, f"{name}_sigma", lambda: df))
     return staged(spark, sf, f"{name}_report", lambda: report), staged(spark, sf, f"{name}_shares", lambda: shares)
 
 
