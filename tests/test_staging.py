@@ -49,3 +49,39 @@ def test_a_snapshot_stages_no_bars(spark):
     got = fu.feature_snapshot(grid, securities, days.select(F.col("date").alias("as_of_date")), bars=MONTHLY, materialize=materialize)
     assert staged and not staged[0] & {"open", "high", "low", "close", "price_close", "volume", "ret", "pos"}
     assert [round(r.price) for r in got.orderBy("as_of_date").collect()] == [10, 11, 12, 13, 14, 15]
+
+
+def test_a_snapshot_deals_statements_and_counts_by_security_once(spark):
+    """Filing states, counts and membership meet a security's rows where they lie: no row of the
+    snapshot crosses the network by security and date, and nothing is staged between."""
+    from pyspark.sql import functions as F
+
+    from quantloom.config import MONTHLY
+    from quantloom.operators import fundamentals as fu
+
+    month = lambda k: F.last_day(F.add_months(F.lit("2024-01-31").cast("date"), k.cast("int")))
+    days = spark.range(6).select(F.col("id").alias("pos"), month(F.col("id")).alias("date"))
+    ids = spark.range(1, 4).select(F.col("id").alias("security_id"))
+    prices = {c: F.lit(10.0) + F.col("pos") + F.col("security_id") for c in ("open", "high", "low", "close", "price_close", "volume")}
+    grid = days.crossJoin(ids).withColumns(prices)
+    securities = ids.select("security_id", F.lit("T").alias("ticker"), F.lit("a").alias("sector_id"), F.lit("b").alias("industry_id"))
+    estimates = spark.createDataFrame(
+        [(1, "2024-02-10", 2.0, 3, 1), (1, "2024-04-30", 4.0, 1, 0), (2, "2024-03-05", 5.0, 0, 2)],
+        "security_id long, day string, fy1_eps_estimate double, n_revisions_up long, n_revisions_down long",
+    ).withColumn("available_at", F.to_date("day")).drop("day")
+    live = spark.createDataFrame([(1, "2024-03-01", None), (3, None, "2024-02-29")], "security_id long, start string, end string")
+    live = live.select("security_id", F.to_date("start").alias("start"), F.to_date("end").alias("end"))
+    staged = []
+    got = fu.feature_snapshot(
+        grid, securities, days.select(F.col("date").alias("as_of_date")), estimates=estimates, membership=live, bars=MONTHLY,
+        materialize=lambda df: staged.append(df) or df,
+    )
+    rows = {(r.security_id, r.as_of_date.month): r for r in got.collect()}
+    assert len(rows) == 18 and not staged
+    # Counts hold for the thirty days before a date only; the estimate itself is carried on.
+    assert [rows[1, m].revisions_up_ratio for m in range(1, 7)] == [None, 0.75, None, 1.0, None, None]
+    assert [rows[1, m].estimates_available_at is not None for m in range(1, 7)] == [False] + [True] * 5
+    assert [rows[1, m].in_universe for m in range(1, 7)] == [False, False, True, True, True, True]
+    assert [rows[3, m].in_universe for m in range(1, 7)] == [True] + [False] * 5
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert not [x for x in plan.splitlines() if "hashpartitioning(security_id" in x and "as_of_date" in x.split("hashpartitioning(")[1].split(")")[0]]
